@@ -1,9 +1,11 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB equivalents."""
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, licence, webp
 
 QUERIES = {
+    "op1_licence_scan": licence.op1_licence_scan,
+    "op9_lossless_webp": webp.op9_lossless_webp,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_licence_scan": licence.oracle()}
