@@ -1,11 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB equivalents."""
 
-from tidemark.llm import bpe, licence, webp
+from tidemark.llm import bpe, langid, licence, warc, webp
 
 QUERIES = {
     "op1_licence_scan": licence.op1_licence_scan,
+    "op4_warc": warc.op4_warc,
+    "op6_language_id": langid.op6_language_id,
     "op9_lossless_webp": webp.op9_lossless_webp,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
-ORACLES = {"op1_licence_scan": licence.oracle()}
+ORACLES = {"op1_licence_scan": licence.oracle(), "op4_warc": warc.oracle()}
