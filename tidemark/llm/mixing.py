@@ -3,9 +3,10 @@
 A source's rate is its target over its size; each document is taken floor(rate) times, and once more with the
 fractional probability that is left. Fractional units are paired: words move at random from one to the other, so that
 the words expected from the pair stay the same, until one unit is whole; the other goes on to the next pair. Units
-are dealt into chunks of about CHUNK by a hash, each chunk is folded to one fractional unit at most, and those are
-folded again, CHUNK at a time: a reduction tree of log(units) levels. The root's unit is drawn alone, so a source's
-taken words miss its target by less than one document. All draws come from hashes: reruns agree.
+are dealt into chunks of about CHUNK by a hash, each chunk is folded to one fractional unit at most, which goes up with
+a spread of its documents, JOIN chunks meeting in one: a reduction tree of log(units) levels. The root's last unit is
+drawn alone; whole units of the root are then turned, large before small, where that brings the source's words nearer
+to its target (inclusion probabilities hold but for those turns). All draws come from hashes: reruns agree.
 
 Targets: sources in order of code points, null last, weigh 5, 2, 1 in turn and share all words; a target stops at
 MOST times the size and the excess goes to the others by weight. That is a level of water per weight; it is found in
@@ -26,7 +27,9 @@ from tidemark.llm.common import WORD, table, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-CHUNK = 32
+CHUNK = 64
+SPREAD = 8
+JOIN = 7  # chunks that meet in one of the next level: each sends up CHUNK / SPREAD units and one
 WHOLE = 1e-9  # a probability nearer than this to 0 or 1 is whole
 
 
@@ -92,14 +95,42 @@ def _snap(p: Column) -> Column:
     return F.when(p < WHOLE, 0.0).when(p > 1 - WHOLE, 1.0).otherwise(p)
 
 
+UNIT = "struct<larger:bigint,order:bigint,doc_id:bigint,copy:bigint,size:bigint,p:double>"
+
+
 def _fold(units: DataFrame, keys: list[str], salt: str) -> DataFrame:
-    """Each group's units folded into `done` units and one `carry` at most; large ones first, so that a small one is left."""
-    unit = "struct<larger:bigint,order:bigint,doc_id:bigint,copy:bigint,size:bigint,p:double>"
+    """Each chunk's units as `done` (whole) and `up` (for the next level): a root chunk sends nothing up.
+
+    Other chunks send up the unit that stays fractional and every SPREAD-th by size, so that the root has documents of
+    all sizes to make up for the unit that it draws alone.
+    """
     order = F.xxhash64(F.lit(salt), "unit.doc_id", "unit.copy").alias("order")
-    lists = units.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("unit.size")).alias("larger"), order, "unit.doc_id", "unit.copy", "unit.size", "unit.p"))).alias("units"))
-    start = F.struct(F.lit(None).cast(unit).alias("carry"), F.lit(None).cast(f"array<{unit}>").alias("done"))
-    start = start.withField("done", F.array().cast(f"array<{unit}>"))
-    return lists.select(*keys, F.aggregate("units", start, lambda s, u: _pair(s, u, salt)).alias("fold"))
+    larger = (-F.col("unit.size")).alias("larger")
+    lists = units.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(larger, order, "unit.doc_id", "unit.copy", "unit.size", "unit.p"))).alias("units"))
+    none = F.array().cast(f"array<{UNIT}>")
+    root = F.col("chunks") == 1
+    held = F.when(root, none).otherwise(F.filter("units", lambda u, i: i % SPREAD == 0))
+    paired = F.when(root, F.col("units")).otherwise(F.filter("units", lambda u, i: i % SPREAD != 0))
+    start = F.struct(F.lit(None).cast(UNIT).alias("carry"), none.alias("done"))
+    lists = lists.select(*keys, held.alias("held"), F.aggregate(paired, start, lambda s, u: _pair(s, u, salt)).alias("fold"))
+    carry = F.col("fold.carry")
+    up = F.when(carry.isNull() | root, F.col("held")).otherwise(F.concat("held", F.array(carry)))
+    done = F.when(root & carry.isNotNull(), _settled(F.col("fold.done"), carry, salt)).otherwise(F.col("fold.done"))
+    return lists.select(*keys, up.alias("up"), done.alias("done"))
+
+
+def _settled(done: Column, carry: Column, salt: str) -> Column:
+    """The root: draw the last unit alone, then turn whole units, large ones first, where that takes the words nearer to their sum."""
+    drawn = F.when(uniform(F.lit(f"{salt} root"), carry["doc_id"], carry["copy"]) < carry["p"], 1.0).otherwise(0.0)
+    none = F.array().cast(f"array<{UNIT}>")
+    start = F.struct((carry["size"] * (carry["p"] - drawn)).cast("double").alias("short"), none.alias("done"))
+
+    def turn(state: Column, u: Column) -> Column:
+        short, half = state["short"], u["size"] / 2
+        p = F.when((u["p"] == 0) & (short > half), 1.0).when((u["p"] == 1) & (short < -half), 0.0).otherwise(u["p"])
+        return let(p, lambda x: F.struct((short - u["size"] * (x - u["p"])).alias("short"), F.concat(state["done"], F.array(u.withField("p", x))).alias("done")))
+
+    return F.concat(F.aggregate(F.array_sort(done), start, turn)["done"], F.array(carry.withField("p", drawn)))
 
 
 def mix_sources(docs: DataFrame, seed: str = "mix") -> DataFrame:
@@ -115,18 +146,16 @@ def mix_sources(docs: DataFrame, seed: str = "mix") -> DataFrame:
     rows = written(rows, "mix-rows")
     key = ["source", "source_size", "target", "base"]
     plain = rows.filter(F.col("p") == 0).select(*key, "doc_id", "size", F.lit(0.0).alias("p"))
-    chunk = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "copy"), F.ceil(F.col("n") / F.lit(CHUNK)))
-    units = rows.filter(F.col("p") > 0).select(*key, chunk.alias("chunk"), F.struct("doc_id", "copy", "size", "p").alias("unit"))
-    largest = targets.agg(F.max("n")).first()[0] or 0
-    chunks, level, done = -(-largest // CHUNK), 0, [plain]
-    while chunks:
-        folded = written(_fold(units, [*key, "chunk"], f"{seed} {level}"), f"mix-level{level}")
-        done.append(folded.select(*key, F.explode("fold.done").alias("u")).select(*key, "u.doc_id", "u.size", "u.p"))
-        level += 1
-        units = folded.filter("fold.carry is not null").select(*key, F.floor(F.col("chunk") / CHUNK).alias("chunk"), F.col("fold.carry").alias("unit"))
-        chunks = 0 if chunks == 1 else -(-chunks // CHUNK)
-    root = F.when(uniform(F.lit(f"{seed} root"), "source", "unit.doc_id", "unit.copy") < F.col("unit.p"), 1.0).otherwise(0.0)
-    done.append(units.select(*key, "unit.doc_id", "unit.size", root.alias("p")))
+    chunks = F.ceil(F.col("n") / F.lit(CHUNK)).cast("long")
+    chunk = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "copy"), chunks)
+    units = rows.filter(F.col("p") > 0).select(*key, chunks.alias("chunks"), chunk.alias("chunk"), F.struct("doc_id", "copy", "size", "p").alias("unit"))
+    most, level, done = -(-(targets.agg(F.max("n")).first()[0] or 0) // CHUNK), 0, [plain]
+    while most:
+        folded = written(_fold(units, [*key, "chunks", "chunk"], f"{seed} {level}"), f"mix-level{level}")
+        done.append(folded.select(*key, F.explode("done").alias("u")).select(*key, "u.doc_id", "u.size", "u.p"))
+        fewer, chunk = F.ceil(F.col("chunks") / F.lit(JOIN)).cast("long"), F.floor(F.col("chunk") / F.lit(JOIN)).cast("long")
+        units = folded.select(*key, fewer.alias("chunks"), chunk.alias("chunk"), F.explode("up").alias("unit"))
+        most, level = 0 if most == 1 else -(-most // JOIN), level + 1
     out = reduce(DataFrame.unionByName, done)
     copies = F.col("base") + F.col("p").cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
