@@ -138,7 +138,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     yield from _captures(row["archive"], data)
 
     # One row a file, so that each file is a task of its own.
-    files = archives.select("folder", "archive").repartition("archive")
+    files = archives.select("folder", "archive").repartition(4 * archives.sparkSession.sparkContext.defaultParallelism, "archive")
     found = files.mapInArrow(run, CAPTURE.replace("url_key string, captured", "captured"))
     return found.withColumn("url_key", url_key(F.col("target")))
 
