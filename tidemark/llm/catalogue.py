@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB equivalents."""
 
-from tidemark.llm import bpe, langid, licence, mixing, neardup, warc, webp
+from tidemark.llm import bpe, chunking, langid, licence, mixing, neardup, warc, webp
 
 QUERIES = {
     "op1_licence_scan": licence.op1_licence_scan,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_pivotal_mixing": mixing.op5_pivotal_mixing,
     "op6_language_id": langid.op6_language_id,
     "op7_near_duplicates": neardup.op7_near_duplicates,
+    "op8_substring_dedup": chunking.op8_substring_dedup,
     "op9_lossless_webp": webp.op9_lossless_webp,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
