@@ -1,7 +1,7 @@
 """Substring dedup by content-defined chunking: a gear rolling hash cuts texts, equal chunks are kept once.
 
-A text is cut after a white-space byte where the gear hash of the last 32 bytes has its lowest CUT_BITS bits zero,
-but not before LEAST_CHUNK bytes; a stretch without cuts is cut after MOST_CHUNK bytes at a character. Where bytes are
+A text is cut after a white-space byte where the gear hash of the last 32 bytes has its highest CUT_BITS bits zero,
+but not before LEAST_CHUNK bytes; from USUAL_CHUNK bytes on EASY_BITS zero bits will do; a stretch without cuts is cut after MOST_CHUNK bytes at a character. Where bytes are
 inserted, cuts come back in step within a chunk or two. Chunks are compared by a 128-bit digest; the first one by
 (doc_id, text_crc, start) stays, later ones go if the run of them has LEAST_RUN bytes or more, so that common short
 lines stay. First places come from a map-side combined minimum, and later ones from a join that may be split by skew.
@@ -24,10 +24,12 @@ from tidemark.llm.common import steps, table, utf8, written
 from tidemark.llm.shingles import SPACE, mix
 from tidemark.llm.spans import remove_spans, text_crc
 
-CUT_BITS = 3
-LEAST_CHUNK = 20
+CUT_BITS = 4
+EASY_BITS = 1
+LEAST_CHUNK = 24
+USUAL_CHUNK = 40
 MOST_CHUNK = 1024
-LEAST_RUN = 120
+LEAST_RUN = 80
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -46,12 +48,12 @@ def cuts(text: np.ndarray) -> list[int]:
     n = len(text)
     if not n:
         return []
-    h = gear_hashes(text)
     # The lowest bits depend on the last few bytes alone, so the highest of the 32 decide.
-    wanted = np.flatnonzero(SPACE[text] & (h >> np.uint32(32 - CUT_BITS) == 0)) + 1
+    h = gear_hashes(text) >> np.uint32(32 - CUT_BITS)
+    wanted = np.flatnonzero(SPACE[text] & (h < 1 << CUT_BITS - EASY_BITS))
     out, last = [], 0
-    for end in [*wanted.tolist(), n]:
-        if end - last < LEAST_CHUNK and end != n:
+    for end, hard in zip([*(wanted + 1).tolist(), n], [*h[wanted].tolist(), 0], strict=True):
+        if end - last < (LEAST_CHUNK if hard == 0 else USUAL_CHUNK) and end != n:
             continue
         while end - last > MOST_CHUNK:
             last += MOST_CHUNK
@@ -93,7 +95,7 @@ def chunks(docs: DataFrame) -> DataFrame:
 def later_chunks(found: DataFrame) -> DataFrame:
     """Chunks that an earlier place has too: doc_id, text_crc, start, end."""
     place = F.struct("doc_id", "text_crc", "start")
-    first = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").drop("last")
+    first = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     return found.join(first, ["high", "low"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_crc", "start", "end")
 
 
