@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB equivalents."""
 
-from tidemark.llm import bpe, chunking, langid, licence, mixing, neardup, warc, webp
+from tidemark.llm import bpe, chunking, langid, licence, mixing, neardup, suffixes, warc, webp
 
 QUERIES = {
     "op1_licence_scan": licence.op1_licence_scan,
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op4_warc": warc.op4_warc,
     "op5_pivotal_mixing": mixing.op5_pivotal_mixing,
     "op6_language_id": langid.op6_language_id,
