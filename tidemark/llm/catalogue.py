@@ -1,10 +1,11 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB equivalents."""
 
-from tidemark.llm import bpe, chunking, langid, licence, mixing, neardup, suffixes, warc, webp
+from tidemark.llm import bpe, chunking, langid, licence, mixing, mtree, neardup, suffixes, warc, webp
 
 QUERIES = {
     "op1_licence_scan": licence.op1_licence_scan,
     "op2_suffix_dedup": suffixes.op2_suffix_dedup,
+    "op3_topk_search": mtree.op3_topk_search,
     "op4_warc": warc.op4_warc,
     "op5_pivotal_mixing": mixing.op5_pivotal_mixing,
     "op6_language_id": langid.op6_language_id,
@@ -14,4 +15,4 @@ QUERIES = {
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
-ORACLES = {"op1_licence_scan": licence.oracle(), "op4_warc": warc.oracle()}
+ORACLES = {"op1_licence_scan": licence.oracle(), "op3_topk_search": mtree.ORACLE, "op4_warc": warc.oracle()}
