@@ -108,33 +108,53 @@ def sample(docs: DataFrame, eligible: Column) -> tuple[list[bytes], list[str]]:
     return [r.text.encode() for r in rows], [r.lang for r in rows]
 
 
+def classify(data: np.ndarray, starts: np.ndarray, letters: np.ndarray, model: dict | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Label, score and acceptance of each text."""
+    n = len(starts) - 1
+    label, score, accepted = np.full(n, "und", object), np.zeros(n), np.zeros(n, bool)
+    if model is not None and letters.any():
+        p = _softmax(_logits(data, starts, model["scores"]) / model["temperature"])
+        best = p.argmax(1)
+        label = np.where(letters, np.array(model["names"], object)[best], label)
+        score = np.where(letters, p[np.arange(n), best], 0.0)
+        accepted = letters & (score >= model["threshold"])
+    return label, score, accepted
+
+
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id, lang_pred, score and accepted for each row of docs(doc_id, text); the model is a few MB at most."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in steps(batches, limit=1 << 20):
             letters = np.array(batch.column(2).to_pylist(), bool)
-            data, starts = utf8(batch.column(1))
-            n = batch.num_rows
-            label = np.full(n, "und", object)
-            score, accepted = np.zeros(n), np.zeros(n, bool)
-            if known is not None and letters.any():
-                logits = _logits(data, starts, known["scores"])
-                p = _softmax(logits / known["temperature"])
-                best = p.argmax(1)
-                label = np.where(letters, np.array(known["names"], object)[best], label)
-                score = np.where(letters, p[np.arange(n), best], 0.0)
-                accepted = letters & (score >= known["threshold"])
+            label, score, accepted = classify(*utf8(batch.column(1)), letters, shared.value)
             out = [batch.column(0), pa.array(label.tolist(), pa.string()), pa.array(score.astype(np.float64)), pa.array(accepted)]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "lang_pred", "score", "accepted"])
 
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), has_letter(text).alias("letters"))
     return rows.mapInArrow(run, SCHEMA)
 
 
+def keep_accepted(docs: DataFrame, model: dict | None) -> DataFrame:
+    """The rows of docs whose prediction is accepted, with their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, limit=1 << 20):
+            letters = np.array(batch.column(batch.num_columns - 1).to_pylist(), bool)
+            text = batch.column(batch.schema.get_field_index("text"))
+            accepted = classify(*utf8(text), letters, shared.value)[2]
+            yield batch.filter(pa.array(accepted)).select(batch.schema.names[:-1])
+
+    return docs.withColumn("langid has letter", has_letter(F.col("text").cast("string"))).mapInArrow(run, docs.schema)
+
+
 def _logits(data: np.ndarray, starts: np.ndarray, scores: np.ndarray) -> np.ndarray:
     n = len(starts) - 1
     sizes = np.diff(starts)

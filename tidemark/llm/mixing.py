@@ -157,7 +157,7 @@ def mix_sources(docs: DataFrame, seed: str = "mix") -> DataFrame:
         units = folded.select(*key, fewer.alias("chunks"), chunk.alias("chunk"), F.explode("up").alias("unit"))
         most, level = 0 if most == 1 else -(-most // JOIN), level + 1
     out = reduce(DataFrame.unionByName, done)
-    copies = F.col("base") + F.col("p").cast("long")
+    copies = F.when(F.col("size") > 0, F.col("base") + F.col("p").cast("long")).otherwise(F.lit(0).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
