@@ -2,7 +2,7 @@
 
 A text is cut after a white-space byte where the gear hash of the last 32 bytes has its highest CUT_BITS bits zero,
 but not before LEAST_CHUNK bytes; from USUAL_CHUNK bytes on EASY_BITS zero bits will do; a stretch without cuts is cut after MOST_CHUNK bytes at a character. Where bytes are
-inserted, cuts come back in step within a chunk or two. Chunks are compared by a 128-bit digest; the first one by
+inserted, cuts come back in step within a chunk or two. Chunks are compared by a 96-bit digest; the first one by
 (doc_id, text_crc, start) stays, later ones go if the run of them has LEAST_RUN bytes or more, so that common short
 lines stay. First places come from a map-side combined minimum, and later ones from a join that may be split by skew.
 
@@ -67,7 +67,7 @@ def cuts(text: np.ndarray) -> list[int]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """A row for each chunk: doc_id, text_crc, start, end and its digest as two longs."""
+    """A row for each chunk: doc_id, text_crc, start, end and its digest as a long and an int."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -80,16 +80,16 @@ def chunks(docs: DataFrame) -> DataFrame:
                 at = 0
                 for stop in ends:
                     begin.append(at)
-                    digests.append(hashlib.blake2b(raw[at:stop], digest_size=16).digest())
+                    digests.append(hashlib.blake2b(raw[at:stop], digest_size=12).digest())
                     at = stop
                 end += ends
             row = pa.array(np.repeat(np.arange(batch.num_rows), rows))
-            two = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            columns = [batch.column(0).take(row), batch.column(2).take(row), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(two[:, 0]), pa.array(two[:, 1])]
+            two = np.frombuffer(b"".join(digests), np.dtype([("high", "<i8"), ("low", "<i4")]))
+            columns = [batch.column(0).take(row), batch.column(2).take(row), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(two["high"].copy()), pa.array(two["low"].copy())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_crc", "start", "end", "high", "low"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_crc(F.col("text")).alias("text_crc"))
-    return rows.mapInArrow(run, "doc_id long, text_crc long, start int, end int, high long, low long")
+    return rows.mapInArrow(run, "doc_id long, text_crc long, start int, end int, high long, low int")
 
 
 def later_chunks(found: DataFrame) -> DataFrame:
