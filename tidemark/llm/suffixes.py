@@ -17,7 +17,6 @@ are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +34,8 @@ HOT = 1000
 SECOND = mix(np.arange(1, 257, dtype=np.uint64))
 #: Anchors whose suffixes are sorted at a time.
 ROWS_AT_ONCE = 2_000
+#: Digests of hot windows that are broadcast at most (16 MB).
+LOOKED_UP = 1_000_000
 
 
 class Prefixes:
@@ -186,35 +187,38 @@ def open_grams(flagged: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[int] = []
-            for places in batch.column(0).to_pylist():
-                known = np.unique(np.array([p["at"] for p in places if p["repeated"]], np.int64))
-                for p in places:
-                    if p["first"] > p["last"]:
-                        continue
-                    # Each pair of neighbours from the last known start up to `first` on has to reach the next.
-                    low = np.searchsorted(known, p["first"], side="right") - 1
-                    high = np.searchsorted(known, p["last"], side="left")
-                    if low < 0 or high >= len(known) or (np.diff(known[low : high + 1]) > WINDOW).any():
-                        out.append(p["gram"])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["gram"])
+            lists = batch.column(0)
+            flat = lists.flatten()
+            at, first, last, gram = (flat.field(k).to_numpy() for k in ("at", "first", "last", "gram"))
+            repeated = flat.field("repeated").to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lists), dtype=np.int64), np.diff(lists.offsets.to_numpy()))
+            known = np.unique((row << 32 | at)[repeated])  # repeated starts of all texts in order
+            wide = np.concatenate([[0], np.cumsum(np.diff(known) > WINDOW)])
+            # A run of windows is closed if known starts reach from before it to after it without a gap.
+            low = np.searchsorted(known, row << 32 | first, side="right") - 1
+            high = np.searchsorted(known, row << 32 | last)
+            inside = (low >= 0) & (high < len(known))
+            closed = np.zeros(len(row), bool)
+            i = np.flatnonzero(inside)
+            closed[i] = (known[low[i]] >> 32 == row[i]) & (known[high[i]] >> 32 == row[i]) & (wide[high[i]] == wide[low[i]])
+            yield pa.RecordBatch.from_arrays([pa.array(gram[~closed & (first <= last)], pa.int64())], names=["gram"])
 
     place = F.struct("at", "first", "last", "gram", "repeated")
     texts = flagged.groupBy("doc_id", "text_crc", "copy").agg(F.collect_list(place).alias("places"))
     return texts.select("places").mapInArrow(run, "gram long").distinct()
 
 
-AROUND = "doc_id long, text_crc long, gram long, first int, last int, at int, bytes binary, digest binary"
+AROUND = "doc_id long, text_crc long, gram long, first int, last int, at int, hot boolean, bytes binary"
 
 
 def surroundings(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """For each wanted anchor the bytes of all its windows; for hot ones a row and digest for each window instead."""
+    """For each wanted anchor the bytes of all its windows."""
     lists = wanted.groupBy("doc_id", "text_crc").agg(F.collect_set(F.struct("at", "first", "last", "gram", "places")).alias("wanted"))
     lists = lists.select(F.col("doc_id").alias("want_doc"), F.col("text_crc").alias("want_crc"), "wanted")
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_crc(F.col("text")).alias("text_crc"), pack(F.col("text").cast("string")).alias("packed"))
     same = packed["doc_id"].eqNullSafe(lists["want_doc"]) & (packed["text_crc"] == lists["want_crc"])
     names = [x.split()[0] for x in AROUND.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -231,12 +235,8 @@ def surroundings(wanted: DataFrame, docs: DataFrame) -> DataFrame:
             for doc, crc, blob, places in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 text = unpack(blob)
                 for p in places:
-                    first, last, at = p["first"], p["last"], p["at"]
-                    if p["places"] <= HOT:
-                        rows.append((doc, crc, p["gram"], first, last, at, text[first : last + WINDOW], None))
-                    else:
-                        for s in range(first, last + 1):
-                            rows.append((doc, crc, None, s, s, at, None, hashlib.blake2b(text[s : s + WINDOW], digest_size=16).digest()))
+                    first, last = p["first"], p["last"]
+                    rows.append((doc, crc, p["gram"], first, last, p["at"], p["places"] > HOT, text[first : last + WINDOW]))
                     if len(rows) >= 5000:
                         yield batch()
         if rows:
@@ -248,31 +248,37 @@ def surroundings(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
 def sorted_repeats(around: DataFrame) -> DataFrame:
     """Spans from the first to the last repeated window of each anchor, by sorting the suffixes around equal anchors."""
-    dealt = around.filter("gram is not null").select("doc_id", "text_crc", "gram", "first", "last", "at", "bytes")
+    dealt = around.filter("not hot").select("doc_id", "text_crc", "gram", "first", "last", "at", "bytes")
     dealt = dealt.repartition("gram").sortWithinPartitions("gram")
 
     def solved(whole: pa.Table) -> pa.RecordBatch:
         whole = whole.combine_chunks()
         gram, first, last, at = (whole.column(c).to_numpy() for c in ("gram", "first", "last", "at"))
-        data, starts = utf8(whole.column("bytes").chunk(0))
-        text = Prefixes(data)
-        n = (last - first + 1).astype(np.int64)
-        record = np.repeat(np.arange(len(n)), n)
-        step = np.arange(len(record)) - np.repeat(np.cumsum(n) - n, n)
-        offset = at[record] - first[record] - step  # windows of one alignment can be equal, others can't
-        group = np.cumsum(np.append(True, gram[1:] != gram[:-1]))[record]
-        order = np.lexsort((offset, group))
-        key = group[order] * (WINDOW + 1) + offset[order]
-        dup = np.zeros(len(record), bool)
-        dup[order] = repeated_windows(text, (starts[record] + step)[order], key)
-        hits = np.flatnonzero(dup)
-        of = record[hits]
-        head = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(hits) else np.zeros(0, np.int64)
-        tail = np.append(head[1:], len(hits)) - 1 if len(hits) else head
-        row = pa.array(of[head])
+        # Equal surroundings are repeats as a whole; one of them stands for all in the sort.
+        same: dict[tuple, int] = {}
+        keys = zip(gram.tolist(), (at - first).tolist(), whole.column("bytes").to_pylist(), strict=True)
+        like = np.array([same.setdefault(key, i) for i, key in enumerate(keys)])
+        count = np.bincount(like, minlength=len(like))
+        begin, end = first.copy(), last + WINDOW
+        found = count[like] > 1
+        rep = np.flatnonzero(count)
+        mates = np.searchsorted(gram[rep], gram[rep], side="right") - np.searchsorted(gram[rep], gram[rep])
+        rep = rep[mates > 1]
+        if len(rep):
+            data, starts = utf8(whole.column("bytes").combine_chunks().take(pa.array(rep)))
+            n = (last - first + 1).astype(np.int64)[rep]
+            record = np.repeat(np.arange(len(n)), n)
+            step = np.arange(len(record)) - np.repeat(np.cumsum(n) - n, n)
+            offset = (at - first)[rep][record] - step  # windows of one alignment can be equal, others can't
+            group = np.cumsum(np.append(True, gram[rep][1:] != gram[rep][:-1]))[record]
+            order = np.lexsort((offset, group))
+            key = group[order] * (WINDOW + 1) + offset[order]
+            dup = np.zeros(len(record), bool)
+            dup[order] = repeated_windows(Prefixes(data), (starts[record] + step)[order], key)
+            _widest(np.flatnonzero(dup), record, step, rep, first, begin, end, found)
+        row = pa.array(np.flatnonzero(found))
         columns = [whole.column("doc_id").combine_chunks().take(row), whole.column("text_crc").combine_chunks().take(row)]
-        begin, end = first[of[head]] + step[hits[head]], first[of[tail]] + step[hits[tail]] + WINDOW
-        return pa.RecordBatch.from_arrays([*columns, pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "text_crc", "start", "end"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(begin[found].astype(np.int32)), pa.array(end[found].astype(np.int32))], names=["doc_id", "text_crc", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -292,12 +298,74 @@ def sorted_repeats(around: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, text_crc long, start int, end int")
 
 
+def _widest(hits: np.ndarray, record: np.ndarray, step: np.ndarray, rows: np.ndarray, first: np.ndarray, begin: np.ndarray, end: np.ndarray, found: np.ndarray) -> None:
+    """Set begin, end and found of rows[record] from its first to its last hit, where it isn't found yet: windows of one anchor overlap, so the bytes between are covered."""
+    if not len(hits):
+        return
+    of = record[hits]
+    head = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    tail = np.append(head[1:], len(hits)) - 1
+    new = ~found[rows[of[head]]]
+    head, tail = head[new], tail[new]
+    row = rows[of[head]]
+    begin[row], end[row] = first[row] + step[hits[head]], first[row] + step[hits[tail]] + WINDOW
+    found[row] = True
+
+
+def _window_digests(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """128 bits for each window of each row's bytes (as two columns), the row and the window's number."""
+    first, last = part.column("first").to_numpy(), part.column("last").to_numpy()
+    data, starts = utf8(part.column("bytes"))
+    n = (last - first + 1).astype(np.int64)
+    record = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(record)) - np.repeat(np.cumsum(n) - n, n)
+    at = starts[record] + step
+    text = Prefixes(data)
+    half = WINDOW // 2
+    a, b = mix(text.hash(at, half)), mix(text.hash(at + half, WINDOW - half))
+    return np.column_stack([mix(a * BASE + b), mix(b * BASE ^ a)]), record, step
+
+
 def counted_repeats(around: DataFrame) -> DataFrame:
-    """The same for hot anchors: windows whose digest occurs twice."""
-    windows = around.filter("digest is not null").select("doc_id", "text_crc", "first", "digest")
-    twice = windows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    found = windows.join(twice, "digest")
-    return found.select("doc_id", "text_crc", F.col("first").alias("start"), (F.col("first") + WINDOW).alias("end"))
+    """The same for hot anchors, whose places aren't gathered: window digests that occur twice are looked up.
+
+    Up to LOOKED_UP such digests (a few for each hot anchor) are broadcast; more are joined.
+    """
+    hot = around.filter("hot").select("doc_id", "text_crc", "first", "last", "bytes")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                two, record, step = _window_digests(part)
+                rows = pa.array(record)
+                start = part.column("first").to_numpy()[record] + step
+                columns = [part.column("doc_id").take(rows), part.column("text_crc").take(rows), pa.array(start.astype(np.int32)), pa.array(two[:, 0].view(np.int64)), pa.array(two[:, 1].copy().view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_crc", "start", "high", "low"])
+
+    windows = hot.mapInArrow(digests, "doc_id long, text_crc long, start int, high long, low long")
+    twice = written(windows.groupBy("high", "low").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "suffix-twice")
+    if twice.count() > LOOKED_UP:
+        found = windows.join(twice, ["high", "low"])
+        return found.select("doc_id", "text_crc", "start", (F.col("start") + WINDOW).alias("end"))
+    found = twice.toArrow()
+    known = np.column_stack([found.column(c).to_numpy() for c in ("high", "low")]).astype(np.int64).view(np.uint64)
+    shared = around.sparkSession.sparkContext.broadcast(np.unique(known[:, 0] * BASE ^ known[:, 1]) if len(known) else np.zeros(0, np.uint64))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                two, record, step = _window_digests(part)
+                first = part.column("first").to_numpy()
+                begin, end, found = first.copy(), first.copy(), np.zeros(len(first), bool)
+                hits = np.flatnonzero(np.isin(two[:, 0] * BASE ^ two[:, 1], shared.value))
+                _widest(hits, record, step, np.arange(len(first)), first, begin, end, found)
+                rows = pa.array(np.flatnonzero(found))
+                columns = [part.column("doc_id").take(rows), part.column("text_crc").take(rows), pa.array(begin[found]), pa.array(end[found])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_crc", "start", "end"])
+
+    return hot.mapInArrow(look_up, "doc_id long, text_crc long, start int, end int")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
