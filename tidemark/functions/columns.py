@@ -46,14 +46,19 @@ def hex_chromaticity(colour: Column) -> Column:
     )
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value computed, and written into the plan, once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def mean(a: Column) -> Column:
     """Mean of an array of doubles; null for an empty one."""
-    return F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a))
+    return let(a, lambda v: F.try_divide(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), F.size(v)))
 
 
 def variance(a: Column) -> Column:
     """Population variance of an array."""
-    return F.get(F.transform(F.array(mean(a)), lambda m: mean(F.transform(a, lambda x: (x - m) * (x - m)))), F.lit(0))
+    return let(a, lambda v: let(mean(v), lambda m: mean(F.transform(v, lambda x: (x - m) * (x - m)))))
 
 
 def deviation(a: Column) -> Column:
@@ -62,9 +67,12 @@ def deviation(a: Column) -> Column:
 
 def correlation(a: Column, b: Column) -> Column:
     """Pearson correlation of two arrays of one length; null where either is constant."""
-    means = F.struct(mean(a).alias("a"), mean(b).alias("b"))
-    moved = F.transform(F.array(means), lambda m: F.zip_with(a, b, lambda x, y: (x - m["a"]) * (y - m["b"])))
-    return F.try_divide(mean(F.get(moved, F.lit(0))), deviation(a) * deviation(b))
+
+    def of(p: Column) -> Column:
+        joint = let(F.struct(mean(p["a"]).alias("a"), mean(p["b"]).alias("b")), lambda m: mean(F.zip_with(p["a"], p["b"], lambda x, y: (x - m["a"]) * (y - m["b"]))))
+        return F.try_divide(joint, deviation(p["a"]) * deviation(p["b"]))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -72,7 +80,7 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    return let(a, lambda v: F.sqrt(dot(v, v)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -83,10 +91,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def median(a: Column) -> Column:
     """Median of an array, the mean of the middle two for an even count."""
-    s = F.array_sort(a)
-    n = F.size(a)
-    low, high = F.get(s, F.floor((n - 1) / 2).cast("int")), F.get(s, F.floor(n / 2).cast("int"))
-    return (low + high) / 2
+    return let(F.array_sort(a), lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2)
 
 
 def even_sample(a: Column, size: int, count: int) -> Column:
@@ -106,11 +111,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: F.length(w) > 0)
 
 
-def let(value: Column, then) -> Column:
-    """then(value), with value computed once a row."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def edit_distance(a: Column, b: Column) -> Column:
     """Edit distance of two arrays of strings, case ignored: each distinct word of the pair becomes one character."""
 

@@ -65,15 +65,14 @@ def sessions_by_gap(rows: DataFrame, key: str, time: str, gap: str) -> DataFrame
 
 def lagged_correlations(a: Column, b: Column, lags: range, least: int) -> Column:
     """(lag, correlation) of arrays a and b for each lag: at lag k > 0 a starts k later, at k < 0 b does; null where constant or too short."""
-    n = F.size(a)
 
-    def at(k: int) -> Column:
-        cut = F.greatest(n - abs(k), F.lit(0))
-        x, y = F.slice(a, max(k, 0) + 1, cut), F.slice(b, max(-k, 0) + 1, cut)
-        good = (cut >= least) & (C.deviation(x) > 1e-5) & (C.deviation(y) > 1e-5)
-        return F.struct(F.lit(k).alias("lag"), F.when(good, C.correlation(x, y)).alias("corr"))
+    def at(p: Column, k: int) -> Column:
+        cut = F.greatest(F.size(p["a"]) - abs(k), F.lit(0))
+        parts = F.struct(F.slice(p["a"], max(k, 0) + 1, cut).alias("x"), F.slice(p["b"], max(-k, 0) + 1, cut).alias("y"))
+        good = lambda v: (F.size(v["x"]) >= least) & (C.deviation(v["x"]) > 1e-5) & (C.deviation(v["y"]) > 1e-5)
+        return C.let(parts, lambda v: F.struct(F.lit(k).alias("lag"), F.when(good(v), C.correlation(v["x"], v["y"])).alias("corr")))
 
-    return F.array(*[at(k) for k in lags])
+    return C.let(F.struct(a.alias("a"), b.alias("b")), lambda p: F.array(*[at(p, k) for k in lags]))
 
 
 def best_lag(correlations: Column) -> Column:
