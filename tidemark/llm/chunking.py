@@ -110,5 +110,5 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with repeated passages taken out of `text`; rows and other columns stay."""
-    cut = remove_spans(docs, repeated_spans(docs), LEAST_RUN, keep_text=True).withColumn("text", F.col("cut.kept_text"))
-    return cut.select(*docs.columns)
+    cut = remove_spans(docs, repeated_spans(docs), LEAST_RUN, keep_text=True, result="removal result")
+    return cut.withColumn("text", F.col("removal result")["kept_text"]).select(*docs.columns)

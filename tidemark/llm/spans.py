@@ -67,14 +67,15 @@ def cutter(least: int, keep_text: bool):
     return cut
 
 
-def remove_spans(docs: DataFrame, spans: DataFrame, least: int = 1, *, keep_text: bool = False) -> DataFrame:
-    """docs without `text`, and a struct `cut` of what the removal of spans(doc_id, text_crc, start, end) leaves.
+def remove_spans(docs: DataFrame, spans: DataFrame, least: int = 1, *, keep_text: bool = False, result: str = "cut") -> DataFrame:
+    """docs without `text`, and a struct `result` of what the removal of spans(doc_id, text_crc, start, end) leaves.
 
-    A row's spans lie in its own text, so their list is as bounded as the text is.
+    A row's spans lie in its own text, so their list is as bounded as the text is. Columns added on the way have names
+    that no table of ours has.
     """
-    lists = spans.groupBy("doc_id", "text_crc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    lists = lists.select(F.col("doc_id").alias("span_doc"), F.col("text_crc").alias("span_crc"), "spans")
-    rows = docs.withColumn("text_crc", text_crc(F.col("text"))).withColumn("packed", pack(F.col("text").cast("string"))).drop("text")
-    same = rows["doc_id"].cast("long").eqNullSafe(lists["span_doc"]) & (rows["text_crc"] == lists["span_crc"])
-    out = rows.join(lists, same, "left").withColumn("cut", cutter(least, keep_text)(F.col("packed"), F.col("spans")))
-    return out.drop("span_doc", "span_crc", "spans", "packed", "text_crc")
+    lists = spans.groupBy("doc_id", "text_crc").agg(F.collect_list(F.struct("start", "end")).alias("removal spans"))
+    lists = lists.withColumnsRenamed({"doc_id": "removal doc", "text_crc": "removal crc"})
+    rows = docs.withColumn("removal own", text_crc(F.col("text"))).withColumn("removal packed", pack(F.col("text").cast("string"))).drop("text")
+    same = rows["doc_id"].cast("long").eqNullSafe(lists["removal doc"]) & (rows["removal own"] == lists["removal crc"])
+    out = rows.join(lists, same, "left").withColumn(result, cutter(least, keep_text)(F.col("removal packed"), F.col("removal spans")))
+    return out.drop("removal doc", "removal crc", "removal spans", "removal own", "removal packed")

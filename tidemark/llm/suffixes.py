@@ -36,6 +36,8 @@ SECOND = mix(np.arange(1, 257, dtype=np.uint64))
 ROWS_AT_ONCE = 2_000
 #: Digests of hot windows that are broadcast at most (16 MB).
 LOOKED_UP = 1_000_000
+#: Windows of hot anchors that are tested together first.
+CELL = 8
 
 
 class Prefixes:
@@ -312,60 +314,108 @@ def _widest(hits: np.ndarray, record: np.ndarray, step: np.ndarray, rows: np.nda
     found[row] = True
 
 
-def _window_digests(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """128 bits for each window of each row's bytes (as two columns), the row and the window's number."""
-    first, last = part.column("first").to_numpy(), part.column("last").to_numpy()
-    data, starts = utf8(part.column("bytes"))
-    n = (last - first + 1).astype(np.int64)
+def _windows_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number, place in the joined bytes and offset from the anchor of each window of each row."""
+    first, last, at = (part.column(c).to_numpy().astype(np.int64) for c in ("first", "last", "at"))
+    n = last - first + 1
     record = np.repeat(np.arange(len(n)), n)
     step = np.arange(len(record)) - np.repeat(np.cumsum(n) - n, n)
-    at = starts[record] + step
-    text = Prefixes(data)
-    half = WINDOW // 2
-    a, b = mix(text.hash(at, half)), mix(text.hash(at + half, WINDOW - half))
-    return np.column_stack([mix(a * BASE + b), mix(b * BASE ^ a)]), record, step
+    starts = utf8(part.column("bytes"))[1]
+    return record, step, starts[record] + step, (at - first)[record] - step
+
+
+def _digests(text: Prefixes, at: np.ndarray, length: int, salt: np.ndarray) -> np.ndarray:
+    """128 bits for each string of `length` bytes, as two columns."""
+    half = length // 2
+    a, b = mix(text.hash(at, half) + salt), mix(text.hash(at + half, length - half))
+    return np.column_stack([mix(a * BASE + b), mix(b * BASE ^ a)])
+
+
+def _cells(text: Prefixes, record: np.ndarray, at: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of what the CELL windows of near offsets have in common, one for each cell of a row, and each window's cell."""
+    cell = offset // CELL
+    new = np.append(True, (record[1:] != record[:-1]) | (cell[1:] != cell[:-1])) if len(record) else np.zeros(0, bool)
+    core = (at + offset - cell * CELL)[new]
+    return _digests(text, core, WINDOW - CELL + 1, cell[new].astype(np.uint64)), np.cumsum(new) - 1
+
+
+def _known(two: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return np.isin(two[:, 0] * BASE ^ two[:, 1], known)
+
+
+def _twice(hot: DataFrame, digests) -> DataFrame:
+    """Digests that digests(part) gives twice or more; each batch sends equal ones once, with their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            two = digests(part)
+            two = two[np.lexsort((two[:, 1], two[:, 0]))]
+            new = np.flatnonzero(np.append(True, (two[1:] != two[:-1]).any(1))) if len(two) else np.zeros(0, np.int64)
+            count = np.diff(np.append(new, len(two)))
+            columns = [pa.array(two[new, k].copy().view(np.int64)) for k in (0, 1)] + [pa.array(count)]
+            yield pa.RecordBatch.from_arrays(columns, names=["high", "low", "n"])
+
+    found = hot.mapInArrow(run, "high long, low long, n long").groupBy("high", "low").agg(F.sum("n").alias("n"))
+    return written(found.filter("n > 1").drop("n"), "suffix-twice")
+
+
+def _broadcast(twice: DataFrame):
+    """The digests for _known, if there are LOOKED_UP at most."""
+    if twice.count() > LOOKED_UP:
+        return None
+    found = twice.toArrow()
+    two = np.column_stack([found.column(c).to_numpy() for c in ("high", "low")]).astype(np.int64).view(np.uint64)
+    return twice.sparkSession.sparkContext.broadcast(np.unique(two[:, 0] * BASE ^ two[:, 1]))
 
 
 def counted_repeats(around: DataFrame) -> DataFrame:
     """The same for hot anchors, whose places aren't gathered: window digests that occur twice are looked up.
 
-    Up to LOOKED_UP such digests (a few for each hot anchor) are broadcast; more are joined.
+    Windows are first tested by cells: those whose common bytes occur once can't repeat. Up to LOOKED_UP digests (a
+    few for each hot anchor) are broadcast; where there are more, cells aren't tested and windows are joined.
     """
-    hot = around.filter("hot").select("doc_id", "text_crc", "first", "last", "bytes")
+    hot = around.filter("hot").select("doc_id", "text_crc", "first", "last", "at", "bytes")
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
-                two, record, step = _window_digests(part)
-                rows = pa.array(record)
-                start = part.column("first").to_numpy()[record] + step
-                columns = [part.column("doc_id").take(rows), part.column("text_crc").take(rows), pa.array(start.astype(np.int32)), pa.array(two[:, 0].view(np.int64)), pa.array(two[:, 1].copy().view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_crc", "start", "high", "low"])
-
-    windows = hot.mapInArrow(digests, "doc_id long, text_crc long, start int, high long, low long")
-    twice = written(windows.groupBy("high", "low").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "suffix-twice")
-    if twice.count() > LOOKED_UP:
-        found = windows.join(twice, ["high", "low"])
-        return found.select("doc_id", "text_crc", "start", (F.col("start") + WINDOW).alias("end"))
-    found = twice.toArrow()
-    known = np.column_stack([found.column(c).to_numpy() for c in ("high", "low")]).astype(np.int64).view(np.uint64)
-    shared = around.sparkSession.sparkContext.broadcast(np.unique(known[:, 0] * BASE ^ known[:, 1]) if len(known) else np.zeros(0, np.uint64))
+    def cores(part: pa.RecordBatch) -> np.ndarray:
+        record, _, at, offset = _windows_of(part)
+        return _cells(Prefixes(utf8(part.column("bytes"))[0]), record, at, offset)[0]
+
+    cells = _broadcast(_twice(hot, cores))
+
+    def likely(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Digest, row and number of the windows whose cell occurs twice."""
+        record, step, at, offset = _windows_of(part)
+        text = Prefixes(utf8(part.column("bytes"))[0])
+        if cells is not None:
+            two, cell = _cells(text, record, at, offset)
+            good = _known(two, cells.value)[cell] if len(cell) else np.zeros(0, bool)
+            record, step, at = record[good], step[good], at[good]
+        return _digests(text, at, WINDOW, np.zeros(len(at), np.uint64)), record, step
+
+    windows = _twice(hot, lambda part: likely(part)[0])
+    known = _broadcast(windows)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
-                two, record, step = _window_digests(part)
-                first = part.column("first").to_numpy()
-                begin, end, found = first.copy(), first.copy(), np.zeros(len(first), bool)
-                hits = np.flatnonzero(np.isin(two[:, 0] * BASE ^ two[:, 1], shared.value))
-                _widest(hits, record, step, np.arange(len(first)), first, begin, end, found)
-                rows = pa.array(np.flatnonzero(found))
-                columns = [part.column("doc_id").take(rows), part.column("text_crc").take(rows), pa.array(begin[found]), pa.array(end[found])]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_crc", "start", "end"])
-
-    return hot.mapInArrow(look_up, "doc_id long, text_crc long, start int, end int")
+        for part in batches:
+            two, record, step = likely(part)
+            first = part.column("first").to_numpy()
+            begin, end, found = first.copy(), first.copy(), np.zeros(len(first), bool)
+            _widest(np.flatnonzero(_known(two, known.value)), record, step, np.arange(len(first)), first, begin, end, found)
+            rows = pa.array(np.flatnonzero(found))
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in ("doc_id", "text_crc")), pa.array(begin[found]), pa.array(end[found])], names=["doc_id", "text_crc", "start", "end"])
+
+    if known is not None:
+        return hot.mapInArrow(look_up, "doc_id long, text_crc long, start int, end int")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            two, record, step = likely(part)
+            rows, start = pa.array(record), part.column("first").to_numpy()[record] + step
+            columns = [*(part.column(c).take(rows) for c in ("doc_id", "text_crc")), pa.array(start.astype(np.int32)), *(pa.array(two[:, k].copy().view(np.int64)) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_crc", "start", "high", "low"])
+
+    found = hot.mapInArrow(each, "doc_id long, text_crc long, start int, high long, low long").join(windows, ["high", "low"])
+    return found.select("doc_id", "text_crc", "start", (F.col("start") + WINDOW).alias("end"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
