@@ -38,6 +38,8 @@ ROWS_AT_ONCE = 2_000
 LOOKED_UP = 1_000_000
 #: Windows of hot anchors that are tested together first.
 CELL = 8
+#: Distinct digests that a task holds before it sends their numbers.
+HELD = 500_000
 
 
 class Prefixes:
@@ -343,17 +345,38 @@ def _known(two: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.isin(two[:, 0] * BASE ^ two[:, 1], known)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, ROWS_AT_ONCE) for batch in batches for at in range(0, batch.num_rows, ROWS_AT_ONCE))
+
+
+def _summed(two: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each distinct digest once, with the sum of its numbers."""
+    if not len(n):
+        return two, n
+    order = np.lexsort((two[:, 1], two[:, 0]))
+    two, n = two[order], n[order]
+    new = np.flatnonzero(np.append(True, (two[1:] != two[:-1]).any(1)))
+    return two[new], np.add.reduceat(n, new)
+
+
 def _twice(hot: DataFrame, digests) -> DataFrame:
-    """Digests that digests(part) gives twice or more; each batch sends equal ones once, with their number."""
+    """Digests that digests(part) gives twice or more; each task sends equal ones once, with their number, for every HELD of them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        none = np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
+        held = none
+        for part in _parts(batches):
             two = digests(part)
-            two = two[np.lexsort((two[:, 1], two[:, 0]))]
-            new = np.flatnonzero(np.append(True, (two[1:] != two[:-1]).any(1))) if len(two) else np.zeros(0, np.int64)
-            count = np.diff(np.append(new, len(two)))
-            columns = [pa.array(two[new, k].copy().view(np.int64)) for k in (0, 1)] + [pa.array(count)]
-            yield pa.RecordBatch.from_arrays(columns, names=["high", "low", "n"])
+            own = _summed(two, np.ones(len(two), np.int64))
+            held = _summed(np.concatenate([held[0], own[0]]), np.concatenate([held[1], own[1]]))
+            if len(held[1]) >= HELD:
+                yield held
+                held = none
+        yield held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for two, n in counts(batches):
+            yield pa.RecordBatch.from_arrays([*(pa.array(two[:, k].copy().view(np.int64)) for k in (0, 1)), pa.array(n)], names=["high", "low", "n"])
 
     found = hot.mapInArrow(run, "high long, low long, n long").groupBy("high", "low").agg(F.sum("n").alias("n"))
     return written(found.filter("n > 1").drop("n"), "suffix-twice")
@@ -396,7 +419,7 @@ def counted_repeats(around: DataFrame) -> DataFrame:
     known = _broadcast(windows)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in _parts(batches):
             two, record, step = likely(part)
             first = part.column("first").to_numpy()
             begin, end, found = first.copy(), first.copy(), np.zeros(len(first), bool)
@@ -408,7 +431,7 @@ def counted_repeats(around: DataFrame) -> DataFrame:
         return hot.mapInArrow(look_up, "doc_id long, text_crc long, start int, end int")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in _parts(batches):
             two, record, step = likely(part)
             rows, start = pa.array(record), part.column("first").to_numpy()[record] + step
             columns = [*(part.column(c).take(rows) for c in ("doc_id", "text_crc")), pa.array(start.astype(np.int32)), *(pa.array(two[:, k].copy().view(np.int64)) for k in (0, 1))]
