@@ -148,6 +148,66 @@ def test_near_duplicates(docs):
     assert got == want
 
 
+def template_family(n, pairs, seed=11):
+    """n texts on one template, each with words of its own, and copies of the first `pairs` at a similarity of about 0.77."""
+    r, base = random.Random(seed), prose(200, seed).split()
+
+    def changed(words, k, name):
+        words = list(words)
+        for j, at in enumerate(r.sample(range(0, 200, 6), k)):
+            words[at] = f"{name}x{j}"
+        return words
+
+    texts = [changed(base, 6, f"own{i}") for i in range(n)]
+    return [" ".join(t) for t in texts + [changed(texts[i], 5, f"copy{i}") for i in range(pairs)]]
+
+
+def test_near_duplicates_among_thousands_of_one_template(spark):
+    """A region of far more rows than NEIGHBOURS, whose rows are mutually unlinked, hides no pair."""
+    texts = template_family(2000, 40)
+    random.Random(1).shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    tokens = {s: k for k, s in enumerate({s for x in sets for s in x})}
+    has = np.zeros((len(sets), len(tokens)), np.float32)
+    for i, x in enumerate(sets):
+        has[i, [tokens[s] for s in x]] = 1
+    both = has @ has.T
+    size = has.sum(1)
+    a, b = np.nonzero(np.triu(100 * both >= 75 * (size[:, None] + size[None, :] - both), 1))
+    want = list(range(len(texts)))
+    for _ in texts:
+        before = list(want)
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            want[i] = want[j] = min(want[i], want[j])
+        if want == before:
+            break
+    assert 20 <= len(texts) - len(set(want)) <= 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(want))
+
+
+@pytest.mark.parametrize("block", [1 << 19, 1 << 13])
+def test_shared_counts_and_blocks(monkeypatch, spark, block):
+    """Blocks of any size, sparse and dense tokens give the counts and links of plain sets."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    texts = template_family(60, 12, 5)
+    sets = neardup.text_sets(*_buffer(texts))
+    for dense in (0, 200, 4096):
+        monkeypatch.setattr(neardup, "DENSE", dense)
+        assert (neardup.shared_counts(sets[:50], sets[50:]) == [[len(set(x.tolist()) & set(y.tolist())) for y in sets[50:]] for x in sets[:50]]).all()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signed = neardup.signatures(docs)
+    none = spark.createDataFrame([(i, 0) for i in range(60, 66)] + [(0, 0)], "node long, component long")
+    more = neardup.region_links(signed.select("doc_id", "n_shingles", "keys"), none, docs)
+    assert {tuple(sorted(r)) for r in more.collect()} >= {(i, 60 + i) for i in range(6, 12)}
+
+
+def _buffer(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+
+
 def test_near_duplicates_of_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (None, None), (7, "a b c d e f")], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect())

@@ -6,6 +6,7 @@ and id, so that equal keys of a large group are cut too), and each row is a cand
 rows that share at least LEAST levels: where a region is thin that is every row of the prefix, where it is dense the
 rows of the longest common prefixes, so depth adapts to the region. Rows at range borders are paired in a second
 step. Every candidate pair is confirmed on the full sets; components follow from confirmed links and classes.
+Regions of more rows that the links so far leave in several components are then done exactly (see `region_links`).
 
 Defined results: null or blank text has no shingles, no links, and its own component; equal sets are linked; rows
 that share a doc_id count as one node; a null doc_id belongs to the component of its class; extra columns are ignored.
@@ -32,6 +33,10 @@ LEAST = 3
 NEIGHBOURS = 6
 FUNCTIONS = 96
 LEVEL_BYTES = 2
+#: Shingles (rows count as 512 at least) of a block of a large region, and the work of a token from which it is done in a dense product.
+BLOCK = 1 << 19
+LEAST_WEIGHT = 512
+DENSE = 4096
 
 
 def multipliers() -> np.ndarray:
@@ -186,6 +191,148 @@ def confirmed_pairs(pairs: DataFrame, docs: DataFrame, threshold: int = 75) -> D
     return rows.select("u", "role", "doc_id", "packed").mapInArrow(run, "a long, b long")
 
 
+def open_regions(reps: DataFrame) -> DataFrame:
+    """Edges that connect rows of reps(doc_id, n_shingles, keys, label) which share a region too large for NEIGHBOURS and of several labels."""
+    rows = reps.select(F.posexplode("keys").alias("tree", "key"), "doc_id", "label")
+    rows = rows.select("tree", F.substring("key", 1, LEAST * LEVEL_BYTES).alias("region"), "doc_id", "label")
+    least = F.min("doc_id").alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")
+    large = rows.groupBy("tree", "region").agg(F.count("*").alias("rows"), *least).filter((F.col("rows") > NEIGHBOURS + 1) & (F.col("low") < F.col("high")))
+    large = written(large.select("tree", "region", "hub"), "forest-regions")
+    # A row's hubs are joined to its least hub, and only that one to the row: one edge a row and not one a tree.
+    hubs = rows.join(large, ["tree", "region"]).groupBy("doc_id").agg(F.collect_set("hub").alias("hubs"), F.min("hub").alias("b"))
+    return hubs.select(F.explode(F.array_union("hubs", F.array("doc_id"))).alias("a"), "b").distinct()
+
+
+def block_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members(doc_id, n_shingles, label, area) with their block, and the pairs of blocks that may hold a link of two labels.
+
+    Sizes fall into classes such that linked sets are in one class or the next. Labels of less than a block are dealt to
+    mixed blocks by hash; a larger label has blocks of its own, which need not meet each other.
+    """
+    weight = F.sum(F.greatest("n_shingles", F.lit(LEAST_WEIGHT)))
+    members = members.withColumn("size", F.floor(F.log("n_shingles") / F.log(F.lit(4 / 3))))
+    group, spread = ["area", "size"], lambda c: F.ceil(c / BLOCK)
+    labels = written(members.groupBy(*group, "label").agg(weight.alias("weight")), "region-labels")
+    mixed = labels.filter(F.col("weight") <= BLOCK).groupBy(*group).agg(spread(F.sum("weight")).alias("parts"))
+    own = F.when(F.col("weight") > BLOCK, F.col("label"))
+    dealt = labels.join(mixed, group, "left").select(*group, "label", own.alias("own"), F.when(own.isNotNull(), spread(F.col("weight"))).otherwise(F.col("parts")).alias("parts"))
+    part = F.pmod(F.xxhash64(F.when(F.col("own").isNotNull(), F.col("doc_id")).otherwise(F.col("label"))), F.col("parts"))
+    blocked = members.join(dealt, [*group, "label"]).withColumn("part", part)
+    blocked = written(blocked.withColumn("block", F.xxhash64(*group, F.coalesce("own", F.lit(-1)), F.col("own").isNull(), "part")), "region-blocks")
+    blocks = blocked.select("area", "size", "own", "block").distinct()
+    other = blocks.select("area", *[F.col(c).alias(f"{c}_2") for c in ("size", "own", "block")])
+    meet = (F.abs(F.col("size") - F.col("size_2")) <= 1) & (F.col("block") <= F.col("block_2"))
+    pairs = blocks.join(other, "area").filter(meet & F.coalesce(F.col("own") != F.col("own_2"), F.lit(True)))
+    return blocked, pairs.select("block", "block_2", F.xxhash64("block", "block_2").alias("meeting"))
+
+
+def shared_counts(ours: list[np.ndarray], theirs: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of each of our sets with each of theirs."""
+    n, m = len(ours), len(theirs)
+    out = np.zeros(n * m, np.float64)
+    tokens = np.intersect1d(np.concatenate(ours), np.concatenate(theirs))
+    if not len(tokens):
+        return out.reshape(n, m)
+
+    def entries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)
+        good = np.flatnonzero(tokens[at] == flat)
+        order = good[np.argsort(at[good], kind="stable")]
+        return at[order], row[order], np.searchsorted(at[order], np.arange(len(tokens) + 1))
+
+    (a, a_row, a_at), (b, b_row, b_at) = entries(ours), entries(theirs)
+    often = np.diff(a_at) * np.diff(b_at) > DENSE
+    place, dense = np.cumsum(often) - 1, np.zeros((n, m), np.float32)
+    a_often, b_often = often[a], often[b]
+    for k in range(0, int(often.sum()), 1024):
+        left, right = np.zeros((n, 1024), np.float32), np.zeros((m, 1024), np.float32)
+        for side, token, row, some in ((left, a, a_row, a_often), (right, b, b_row, b_often)):
+            here = some & (place[token] >= k) & (place[token] < k + 1024)
+            side[row[here], place[token[here]] - k] = 1
+        dense += left @ right.T
+    rare = np.flatnonzero(~a_often)
+    width = np.diff(b_at)[a[rare]]
+    ends = np.cumsum(width)
+    done = 0
+    while done < len(rare):
+        stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + (1 << 21), side="right")))
+        w, some = width[done:stop], rare[done:stop]
+        within = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        out += np.bincount(np.repeat(a_row[some], w) * m + b_row[np.repeat(b_at[a[some]], w) + within], minlength=n * m)
+        done = stop
+    return out.reshape(n, m) + dense
+
+
+def new_links(ours: tuple, theirs: tuple, threshold: int) -> list[tuple[int, int]]:
+    """Of the linked pairs between two blocks (doc ids, labels, sets) so many as join the labels they join."""
+    (u, u_label, u_sets), (v, v_label, v_sets) = ours, theirs
+    shared = shared_counts(u_sets, v_sets)
+    either = np.array([len(s) for s in u_sets])[:, None] + np.array([len(s) for s in v_sets])[None, :] - shared
+    hit = (shared > 0) & (100 * shared >= threshold * either) & (np.array(u_label)[:, None] != np.array(v_label)[None, :])
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
+        a, b = top(u_label[i]), top(v_label[j])
+        if a != b:
+            root[a] = b
+            out.append((u[i], v[j]))
+    return out
+
+
+def region_links(reps: DataFrame, found: DataFrame, docs: DataFrame, threshold: int = 75) -> DataFrame | None:
+    """Links that candidates of NEIGHBOURS rows miss: all pairs of different components in large regions, on full sets.
+
+    Regions that share rows make one area, so that a pair meets once and not in each tree. An area's rows are cut into
+    blocks, blocks meet in pairs over the cluster, and a meeting gives only the links that join components.
+    """
+    labels = found.select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+    reps = reps.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    edges = written(open_regions(reps), "region-edges")
+    if edges.isEmpty():
+        return None
+    areas = connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("area"))
+    blocked, pairs = block_pairs(reps.select("doc_id", "n_shingles", "label").join(areas, "doc_id"))
+    pairs = written(pairs, "region-pairs")
+    sides = pairs.select("block", "meeting", F.lit(0).alias("side"))
+    sides = sides.union(pairs.filter("block <> block_2").select("block_2", "meeting", F.lit(1)))
+    texts = written(blocked.select("doc_id", "label", "block").join(packed(docs), "doc_id"), "region-texts")
+    rows = texts.join(sides, "block").repartition("meeting").sortWithinPartitions("meeting", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(held: list[tuple]) -> pa.RecordBatch:
+            sides = [([], [], []) for _ in range(2)]
+            for side, *values in held:
+                for kept, value in zip(sides[side], values, strict=True):
+                    kept.append(value)
+            pairs = new_links(sides[0], sides[1] if sides[1][0] else sides[0], threshold) if sides[0][0] else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        at, held = None, []
+        for batch in batches:
+            for k in range(0, batch.num_rows, 128):
+                part = batch.slice(k, 128)
+                meeting, side, doc, label, blobs = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("meeting", "side", "doc_id", "label", "packed"))
+                for here, *row in zip(meeting, side, doc, label, text_sets(*unpacked(blobs)), strict=True):
+                    if here != at and held:
+                        yield links(held)
+                        held = []
+                    at = here
+                    if len(row[-1]):
+                        held.append(tuple(row))
+        if held:
+            yield links(held)
+
+    return written(rows.select("meeting", "side", "doc_id", "label", "packed").mapInArrow(run, "a long, b long"), "region-links")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs(doc_id, text)."""
     signed = written(signatures(docs), "minhash")
@@ -194,6 +341,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = written(candidate_pairs(classes.select("doc_id", "n_shingles", "keys")), "minhash-pairs")
     links = written(confirmed_pairs(pairs, docs), "minhash-links")
     found = connected_components(links)
+    more = region_links(classes.select("doc_id", "n_shingles", "keys"), found, docs)
+    if more is not None and not more.isEmpty():
+        found = connected_components(links.union(more))
     classes = classes.select("set_id", F.col("doc_id").alias("node")).join(found, "node", "left")
     classes = classes.select("set_id", F.coalesce("component", "node").alias("component"))
     rows = signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
