@@ -148,6 +148,23 @@ def test_near_duplicates(docs):
     assert got == want
 
 
+@pytest.mark.parametrize("letters", ["".join(map(chr, range(0x4E00, 0x4F00))), LETTERS + LETTERS.upper() + "0123456789+/"])
+def test_shifted_passage_in_unspaced_text(spark, letters):
+    """Passages without white space are found at other offsets: Chinese characters, base64."""
+    r = random.Random(6)
+    run = lambda n: "".join(r.choice(letters) for _ in range(n))
+    long, short = run(4000), run(500)
+    texts = [run(211) + long + run(900), run(1000) + long + run(77), run(401) + short + run(30), short + run(303)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {x.doc_id: x.text for x in chunking.deduplicate(docs).collect()}
+    assert kept[0] == texts[0] and kept[2] == texts[2]
+    assert len(texts[1]) - 4000 <= len(kept[1]) <= len(texts[1]) - 3500
+    assert len(texts[3]) - 500 <= len(kept[3]) <= len(texts[3]) - 200
+    for t in texts:
+        ends = chunking.cuts(np.frombuffer(t.encode(), np.uint8))
+        assert max(np.diff([0, *ends])) < chunking.MOST_CHUNK and all(t.encode()[a:b].decode() for a, b in zip([0, *ends], ends))
+
+
 def template_family(n, pairs, seed=11):
     """n texts on one template, each with words of its own, and copies of the first `pairs` at a similarity of about 0.77."""
     r, base = random.Random(seed), prose(200, seed).split()

@@ -1,8 +1,8 @@
 """Substring dedup by content-defined chunking: a gear rolling hash cuts texts, equal chunks are kept once.
 
 A text is cut after a white-space byte where the gear hash of the last 32 bytes has its highest CUT_BITS bits zero,
-but not before LEAST_CHUNK bytes; from USUAL_CHUNK bytes on EASY_BITS zero bits will do; a stretch without cuts is cut after MOST_CHUNK bytes at a character. Where bytes are
-inserted, cuts come back in step within a chunk or two. Chunks are compared by a 96-bit digest; the first one by
+but not before LEAST_CHUNK bytes; from USUAL_CHUNK bytes on EASY_BITS zero bits will do. Where the last 32 bytes hold no white space (scripts without it, minified code, base64) any
+character may end a chunk by the first rule; a stretch without cuts is cut after MOST_CHUNK bytes. Where bytes are inserted, cuts come back in step within a chunk or two. Chunks are compared by a 96-bit digest; the first one by
 (doc_id, text_crc, start) stays, later ones go if the run of them has LEAST_RUN bytes or more, so that common short
 lines stay. First places come from a map-side combined minimum, and later ones from a join that may be split by skew.
 
@@ -30,6 +30,7 @@ LEAST_CHUNK = 24
 USUAL_CHUNK = 40
 MOST_CHUNK = 1024
 LEAST_RUN = 80
+WINDOW = 32
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -43,6 +44,15 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def unspaced(text: np.ndarray) -> np.ndarray:
+    """The bytes that end a character and, like all that the gear hash sees there, are no white space."""
+    out = np.zeros(len(text), bool)
+    spaces = np.concatenate([[0], np.cumsum(SPACE[text])])
+    out[WINDOW - 1 :] = spaces[WINDOW:] == spaces[:-WINDOW]
+    out[:-1] &= text[1:] & 0xC0 != 0x80
+    return out
+
+
 def cuts(text: np.ndarray) -> list[int]:
     """Ends of the chunks of one text."""
     n = len(text)
@@ -50,7 +60,7 @@ def cuts(text: np.ndarray) -> list[int]:
         return []
     # The lowest bits depend on the last few bytes alone, so the highest of the 32 decide.
     h = gear_hashes(text) >> np.uint32(32 - CUT_BITS)
-    wanted = np.flatnonzero(SPACE[text] & (h < 1 << CUT_BITS - EASY_BITS))
+    wanted = np.flatnonzero((SPACE[text] & (h < 1 << CUT_BITS - EASY_BITS)) | (unspaced(text) & (h == 0)))
     out, last = [], 0
     for end, hard in zip([*(wanted + 1).tolist(), n], [*h[wanted].tolist(), 0], strict=True):
         if end - last < (LEAST_CHUNK if hard == 0 else USUAL_CHUNK) and end != n:
