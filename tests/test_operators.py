@@ -159,3 +159,23 @@ def test_manifest(spark):
     parts = [(0, json.dumps({"a.mp4": {"label": "FAKE", "original": "z.mp4"}, "b.mp4": {"label": "REAL"}})), (1, json.dumps({"a.mp4": {"label": "REAL"}}))]
     got = {r.file: (r.label, r.original) for r in io.manifest(spark.createDataFrame(parts, "part int, value string")).collect()}
     assert got == {"a.mp4": ("REAL", "a.mp4"), "b.mp4": ("REAL", "b.mp4")}
+
+
+def test_novelty_of_whole_vectors(spark, tmp_path):
+    import numpy as np
+
+    from __spark_entry__ import queries
+    from tidemark.operators import vectors as V
+
+    x = np.random.default_rng(4).normal(5, 2, (300, 64)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame([*rows, (300, [1.0] * 3), (301, None)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    d, cov = x.astype(float) - x.astype(float).mean(0), np.cov(x.astype(float), rowvar=False)
+    want = np.sqrt(np.einsum("ij,jk,ik->i", d, np.linalg.pinv(cov + 1e-4 * np.eye(64)), d))
+    got = {r.vec_id: r.distance for r in queries()["novelty_distance"](spark, str(tmp_path)).collect()}
+    assert got.pop(300) is None and got.pop(301) is None
+    assert np.allclose([got[i] for i in range(300)], want, rtol=1e-6)
+    cells = queries()["covariance_whole"](spark, str(tmp_path)).collect()
+    assert len(cells) == 64 * 65 // 2 and all(abs(c.covariance - cov[c.i, c.j]) < 1e-6 for c in cells)
+    with pytest.raises(ValueError):
+        V.moments(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "embedding", 16)

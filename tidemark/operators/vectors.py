@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.functions import columns as C
 from tidemark.operators.joins import consecutive
@@ -40,26 +45,65 @@ def long_form(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.select(key, F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
 
 
-def moments(rows: DataFrame, vector: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean vector and sample covariance of a column of vectors of `width`: one row of sums comes to the driver."""
-    x = [F.get(vector, F.lit(i)).cast("double") for i in range(width)]
-    good = rows.filter(F.size(vector) == width)
-    means = good.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)]).first()
-    spreads = good.agg(*[F.covar_samp(x[i], x[j]).alias(f"c{i}_{j}") for i in range(width) for j in range(i + 1)]).first()
-    cov = np.zeros((width, width))
-    for i in range(width):
-        for j in range(i + 1):
-            cov[i, j] = cov[j, i] = spreads[f"c{i}_{j}"] or 0.0
-    return np.array([m or 0.0 for m in means]), cov
-
-
-def novelty(rows: DataFrame, key: str, vector: str, width: int, ridge: float = 1e-4) -> DataFrame:
-    """Mahalanobis distance of each vector (its first `width` parts) from the mean of all."""
+def whole_vectors(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a list column that have `width` parts and no null among them, and those vectors."""
+    column = column.cast(pa.list_(pa.float64()))
+    some = pc.fill_null(pc.equal(pc.list_value_length(column), width), False)
+    at = np.flatnonzero(some.to_numpy(zero_copy_only=False))
+    values = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    good = ~np.isnan(values).any(1)
+    return at[good], values[good]
+
+
+def _summed(rows: DataFrame, vector: str, width: int, centre: np.ndarray) -> tuple[float, np.ndarray]:
+    """Count of whole vectors and the sum of v v' over v = (vector - centre, 1): each task's sums are added on the cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width + 1, width + 1))
+        for batch in batches:
+            x = whole_vectors(batch.column(0), width)[1] - centre
+            x = np.column_stack([x, np.ones(len(x))])
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["cell", "x"])
+
+    cells = rows.select(vector).mapInArrow(run, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).collect()
+    out = np.zeros((width + 1) ** 2)
+    for c in cells:
+        out[c["cell"]] = c["x"]
+    out = out.reshape(width + 1, width + 1)
+    return out[-1, -1], out
+
+
+def moments(rows: DataFrame, vector: str, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Mean vector and sample covariance of a column of vectors, of `width` parts or as many as the longest has.
+
+    Vectors of another width or with nulls take no part; without two that do there is an error. Sums alone come to the driver.
+    """
+    width = width or rows.agg(F.max(F.size(vector))).first()[0] or 0
+    n, sums = _summed(rows, vector, width, np.zeros(width)) if width > 0 else (0, None)
+    if n < 2:
+        raise ValueError(f"{int(n)} rows of {vector} have {width} parts: no covariance")
+    mean = sums[-1, :-1] / n
+    _, sums = _summed(rows, vector, width, mean)
+    off = sums[-1, :-1] / n
+    return mean + off, (sums[:-1, :-1] - n * np.outer(off, off)) / (n - 1)
+
+
+def novelty(rows: DataFrame, key: str, vector: str, width: int | None = None, ridge: float = 1e-4) -> DataFrame:
+    """Mahalanobis distance of each vector from the mean of all; null for vectors that take no part in `moments`."""
     mean, cov = moments(rows, vector, width)
-    precision = np.linalg.pinv(cov + ridge * np.eye(width))
-    d = F.zip_with(F.slice(F.col(vector).cast("array<double>"), 1, width), F.array(*[F.lit(float(m)) for m in mean]), lambda a, m: a - m)
-    weighed = F.array(*[C.dot(F.col("d"), F.array(*[F.lit(float(p)) for p in row])) for row in precision])
-    return rows.withColumn("d", d).select(key, F.sqrt(F.greatest(F.lit(0.0), C.dot(F.col("d"), weighed))).alias("distance"))
+    precision = np.linalg.pinv(cov + ridge * np.eye(len(mean)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, x = whole_vectors(batch.column(1), len(mean))
+            d = x - mean
+            distance = np.full(batch.num_rows, np.nan)
+            distance[at] = np.sqrt(np.maximum(0.0, ((d @ precision) * d).sum(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(distance, from_pandas=True)], names=[key, "distance"])
+
+    rows = rows.select(key, vector)
+    return rows.mapInArrow(run, StructType([rows.schema[key], StructField("distance", DoubleType())]))
 
 
 def attention_pool(rows: DataFrame, series: str, vector: str, logit: F.Column) -> DataFrame:

@@ -115,7 +115,14 @@ def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def novelty_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.novelty(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 16)
+    return V.novelty(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+@query()
+def covariance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts of the vectors; `covariance` and its SQL have the first 8."""
+    cov = V.moments(table(spark, sf_dir, "embeddings"), "embedding")[1]
+    return spark.createDataFrame([(i, j, float(cov[i, j])) for i in range(len(cov)) for j in range(i + 1)], "i int, j int, covariance double")
 
 
 @query("""WITH x AS (SELECT label, embedding, 4 * embedding[1]::DOUBLE AS l FROM embeddings), w AS (SELECT label, exp(l - max(l) OVER (PARTITION BY label)) AS w, embedding FROM x),
