@@ -179,3 +179,27 @@ def test_novelty_of_whole_vectors(spark, tmp_path):
     assert len(cells) == 64 * 65 // 2 and all(abs(c.covariance - cov[c.i, c.j]) < 1e-6 for c in cells)
     with pytest.raises(ValueError):
         V.moments(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "embedding", 16)
+
+
+def test_word_error_rate_of_whole_turns(spark, tmp_path):
+    import random
+
+    from __spark_entry__ import queries
+
+    r = random.Random(2)
+    same = [f"w{i}" for i in range(8)]
+    turns = [same + [r.choice("abcdefgh") for _ in range(n)] for n in (0, 5, 40, 39, 120, 1)] + [[], ["x"], []]
+    rows = [(1, t, "user", " ".join(w)) for t, w in enumerate(turns)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    want = {t: round(edits(a, b) / len(a), 6) if a else float(bool(b)) for t, (a, b) in enumerate(zip(turns, turns[1:]))}
+    assert {x.turn: x.wer for x in queries()["word_error_rate_whole"](spark, str(tmp_path)).collect()} == want

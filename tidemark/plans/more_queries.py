@@ -161,6 +161,14 @@ def word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(C.word_error_rate(F.col("w"), F.col("heard")), 6).alias("wer"))
 
 
+@query()
+def word_error_rate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over whole turns; `word_error_rate` and its SQL have the first 8 words of each."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", C.words(F.col("text")).alias("w"))
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("heard"))
+    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(C.word_error_rate(F.col("w"), F.col("heard")), 6).alias("wer"))
+
+
 @query()
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
