@@ -238,6 +238,34 @@ def test_components_of_chains_and_hubs(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_equal_union_find(spark):
+    """Random graphs of several densities, with loops, repeated edges and nulls."""
+    r = random.Random(4)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(1000 + r.randrange(60), 1000 + r.randrange(60)) for _ in range(400)]
+    edges += edges[:20] + [(None, 3), (5, None)]
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+    got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: top(x) for x in list(root)}
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_texts_of_ids(spark, docs, monkeypatch, limit):
+    """The wanted texts are the same with ids broadcast and joined."""
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", limit)
+    ids = docs.filter("doc_id % 3 = 0").select("doc_id").union(docs.filter("doc_id % 3 = 0").select("doc_id"))
+    assert sorted(map(str, neardup.only(docs, ids).collect())) == sorted(map(str, docs.filter("doc_id % 3 = 0").select("doc_id", "text").collect()))
+
+
 def test_chunks_cover_texts_and_resist_insertions():
     text = np.frombuffer(prose(400, 12).encode(), np.uint8)
     ends = chunking.cuts(text)

@@ -1,4 +1,4 @@
-"""Connected components of a graph by least labels and pointer jumping, one joined table a round."""
+"""Connected components of a graph by contraction: each round joins nodes, and edges within a joined node are gone."""
 
 from __future__ import annotations
 
@@ -11,18 +11,36 @@ from tidemark.llm.common import written
 def connected_components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) for every node of edges(a long, b long); loops and nulls are left out.
 
-    Each round takes the least label among neighbours, then the label of that label, so paths halve at least; rounds
-    end when no label changes. Neighbours' labels are combined before they are shuffled, so a hub costs no more.
+    In each round a node goes over to the neighbour that a hash of the round and the node puts first, or stays. Edges
+    are then renamed, those within one node and repeated ones are dropped, and the next round has only the rest: every
+    node with an edge joins another or is joined, so few rounds are left even for a chain. Neighbours' hashes are
+    combined before they are shuffled, so a hub costs no more.
     """
-    edges = edges.filter("a <> b").select("a", "b").distinct()
-    both = written(edges.union(edges.select("b", "a")), "cc-edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "cc-labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("lower"))
-        roots = labels.select(F.col("node").alias("lower"), F.col("label").alias("root"))
-        jumped = hooked.join(roots, "lower").select("node", F.least("lower", "root").alias("new"), "label")
-        state = written(jumped, "cc-labels")
-        labels = state.select("node", F.col("new").alias("label"))
-        if state.filter("new <> label").isEmpty():
-            return labels.select("node", F.col("label").alias("component"))
+    live = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+    moves: list[DataFrame] = []
+    while not live.isEmpty():
+        place = lambda c, n=len(moves): F.struct(F.xxhash64(F.lit(n), c).alias("place"), F.col(c).alias("to"))
+        both = live.union(live.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("first"))
+        moves.append(written(both.select("node", F.least(place("node"), "first")["to"].alias("to")), "cc-moves"))
+        for end in ("a", "b"):
+            to = moves[-1].select(F.col("node").alias(end), F.col("to").alias(f"{end}_to"))
+            live = live.join(to, end)
+        live = live.filter("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct()
+        live = written(live, "cc-edges")
+    if not moves:
+        return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    # Least members go up to the last node, and its component comes down again, a round at a time.
+    least = [None]
+    for move in moves:
+        own = move if least[-1] is None else move.join(least[-1], "node")
+        value = F.col("node") if least[-1] is None else F.col("least")
+        least.append(written(own.groupBy(F.col("to").alias("node")).agg(F.min(value).alias("least")), "cc-least"))
+    # Nodes that no later round moves are the last of their component.
+    known = least[-1].select("node", F.col("least").alias("component"))
+    for k in reversed(range(len(moves))):
+        if k < len(moves) - 1:
+            ended = least[k + 1].join(known, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
+            known = ended
+        known = moves[k].join(known.withColumnRenamed("node", "to"), "to").select("node", "component")
+        known = written(known, "cc-components")
+    return known

@@ -37,6 +37,8 @@ LEVEL_BYTES = 2
 BLOCK = 1 << 19
 LEAST_WEIGHT = 512
 DENSE = 4096
+#: Ids that are broadcast at most (16 bytes each: 64 MB).
+BROADCAST_IDS = 4_000_000
 
 
 def multipliers() -> np.ndarray:
@@ -91,33 +93,53 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _neighbours(borders: bool):
-    """Pairs of near rows of sorted (tree, key, doc_id, n); with `borders` also the partition's first and last rows (u is null)."""
+    """Pairs of near rows of sorted (tree, key, doc_id, n); with `borders` also the partition's first and last rows (u is null).
+
+    Rows pass in batches, and only the last NEIGHBOURS of those before are held.
+    """
+
+    def ends(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        for b in rows.combine_chunks().to_batches():
+            none = pa.nulls(b.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, *b.select(["tree", "key", "doc_id", "n"]).columns], names=NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        rows = pa.Table.from_batches(batches)
-        count = rows.num_rows
-        tree, doc, n = (rows.column(c).to_numpy() for c in ("tree", "doc_id", "n"))
-        key = np.frombuffer(b"".join(rows.column("key").to_pylist()), np.uint8).reshape(count, -1)[:, : LEAST * LEVEL_BYTES]
-        new = np.ones(count, bool)
-        new[1:] = (tree[1:] != tree[:-1]) | (key[1:] != key[:-1]).any(1)
-        region = np.cumsum(new)
-        for k in range(1, min(NEIGHBOURS, count - 1) + 1):
-            i = np.flatnonzero(region[k:] == region[:-k])
-            u, v, small, large = doc[i], doc[i + k], np.minimum(n[i], n[i + k]), np.maximum(n[i], n[i + k])
-            fit = (u != v) & (4 * small >= 3 * large)
-            yield _pair_batch(np.minimum(u, v)[fit], np.maximum(u, v)[fit])
-        if borders:
-            ends = rows.take(pa.array(sorted({*range(min(NEIGHBOURS, count)), *range(max(0, count - NEIGHBOURS), count)})))
-            for b in ends.combine_chunks().to_batches():
-                none = pa.nulls(b.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, *b.select(["tree", "key", "doc_id", "n"]).columns], names=NAMES)
+        held, seen = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            if borders and seen < NEIGHBOURS:
+                yield from ends(rows.slice(0, NEIGHBOURS - seen))
+            before = held.num_rows if held is not None else 0
+            rows = pa.concat_tables([held, rows]) if before else rows
+            yield from _near_rows(rows, before)
+            seen += batch.num_rows
+            held = rows.slice(max(0, rows.num_rows - NEIGHBOURS))
+        if borders and held is not None:
+            last = min(NEIGHBOURS, max(0, seen - NEIGHBOURS))  # the first rows are sent already
+            if last:
+                yield from ends(held.slice(held.num_rows - last))
 
     return run
 
 
+def _near_rows(rows: pa.Table, before: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows at most NEIGHBOURS apart that share LEAST levels, the second of which isn't among the first `before`."""
+    count = rows.num_rows
+    tree, doc, n = (rows.column(c).to_numpy() for c in ("tree", "doc_id", "n"))
+    key = np.frombuffer(b"".join(rows.column("key").to_pylist()), np.uint8).reshape(count, -1)[:, : LEAST * LEVEL_BYTES]
+    new = np.ones(count, bool)
+    new[1:] = (tree[1:] != tree[:-1]) | (key[1:] != key[:-1]).any(1)
+    region = np.cumsum(new)
+    for k in range(1, min(NEIGHBOURS, count - 1) + 1):
+        i = np.flatnonzero(region[k:] == region[:-k])
+        i = i[i + k >= before]
+        u, v, small, large = doc[i], doc[i + k], np.minimum(n[i], n[i + k]), np.maximum(n[i], n[i + k])
+        fit = (u != v) & (4 * small >= 3 * large)
+        yield _pair_batch(np.minimum(u, v)[fit], np.maximum(u, v)[fit])
+
+
 NAMES = ["u", "v", "tree", "key", "doc_id", "n"]
 NEAR = "u long, v long, tree int, key binary, doc_id long, n long"
 
@@ -138,6 +160,13 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
     return near.filter("u is not null").select("u", "v").union(across.select("u", "v")).distinct()
 
 
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among ids. Up to BROADCAST_IDS of them are broadcast, so that other texts aren't shuffled; beyond, Spark joins."""
+    ids = written(ids.distinct(), "minhash-ids")
+    held = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(held, "doc_id", "left_semi")
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """doc_id and the compressed text, for shuffles that carry whole texts."""
 
@@ -167,7 +196,7 @@ def confirmed_pairs(pairs: DataFrame, docs: DataFrame, threshold: int = 75) -> D
     """The pairs whose sets have 100 * intersection >= threshold * union. A document has few partners: the trees bound them."""
     own = pairs.select("u").distinct().select(F.col("u").alias("doc_id"), "u", F.lit(0).alias("role"))
     need = own.union(pairs.select(F.col("v").alias("doc_id"), "u", F.lit(1).alias("role")))
-    rows = need.join(packed(docs), "doc_id").repartition("u").sortWithinPartitions("u", "role", "doc_id")
+    rows = need.join(packed(only(docs, need.select("doc_id"))), "doc_id").repartition("u").sortWithinPartitions("u", "role", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, mine = None, None
@@ -192,15 +221,13 @@ def confirmed_pairs(pairs: DataFrame, docs: DataFrame, threshold: int = 75) -> D
 
 
 def open_regions(reps: DataFrame) -> DataFrame:
-    """Edges that connect rows of reps(doc_id, n_shingles, keys, label) which share a region too large for NEIGHBOURS and of several labels."""
+    """Rows (doc_id) of reps(doc_id, n_shingles, keys, label) that share a region too large for NEIGHBOURS and of several labels, with the region's least label as `hub`."""
     rows = reps.select(F.posexplode("keys").alias("tree", "key"), "doc_id", "label")
     rows = rows.select("tree", F.substring("key", 1, LEAST * LEVEL_BYTES).alias("region"), "doc_id", "label")
-    least = F.min("doc_id").alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")
-    large = rows.groupBy("tree", "region").agg(F.count("*").alias("rows"), *least).filter((F.col("rows") > NEIGHBOURS + 1) & (F.col("low") < F.col("high")))
+    least = F.min("label").alias("hub"), F.max("label").alias("high")
+    large = rows.groupBy("tree", "region").agg(F.count("*").alias("rows"), *least).filter((F.col("rows") > NEIGHBOURS + 1) & (F.col("hub") < F.col("high")))
     large = written(large.select("tree", "region", "hub"), "forest-regions")
-    # A row's hubs are joined to its least hub, and only that one to the row: one edge a row and not one a tree.
-    hubs = rows.join(large, ["tree", "region"]).groupBy("doc_id").agg(F.collect_set("hub").alias("hubs"), F.min("hub").alias("b"))
-    return hubs.select(F.explode(F.array_union("hubs", F.array("doc_id"))).alias("a"), "b").distinct()
+    return rows.join(large, ["tree", "region"]).select("doc_id", "label", "hub").distinct()
 
 
 def block_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -265,8 +292,8 @@ def shared_counts(ours: list[np.ndarray], theirs: list[np.ndarray]) -> np.ndarra
 
 
 def new_links(ours: tuple, theirs: tuple, threshold: int) -> list[tuple[int, int]]:
-    """Of the linked pairs between two blocks (doc ids, labels, sets) so many as join the labels they join."""
-    (u, u_label, u_sets), (v, v_label, v_sets) = ours, theirs
+    """Pairs of labels that linked pairs between two blocks (labels, sets) join, so many as are needed for that."""
+    (u_label, u_sets), (v_label, v_sets) = ours, theirs
     shared = shared_counts(u_sets, v_sets)
     either = np.array([len(s) for s in u_sets])[:, None] + np.array([len(s) for s in v_sets])[None, :] - shared
     hit = (shared > 0) & (100 * shared >= threshold * either) & (np.array(u_label)[:, None] != np.array(v_label)[None, :])
@@ -283,32 +310,35 @@ def new_links(ours: tuple, theirs: tuple, threshold: int) -> list[tuple[int, int
         a, b = top(u_label[i]), top(v_label[j])
         if a != b:
             root[a] = b
-            out.append((u[i], v[j]))
+            out.append((u_label[i], v_label[j]))
     return out
 
 
 def region_links(reps: DataFrame, found: DataFrame, docs: DataFrame, threshold: int = 75) -> DataFrame | None:
-    """Links that candidates of NEIGHBOURS rows miss: all pairs of different components in large regions, on full sets.
+    """Links between components (as labels a, b) that candidates of NEIGHBOURS rows miss: all pairs of different components in large regions, on full sets.
 
     Regions that share rows make one area, so that a pair meets once and not in each tree. An area's rows are cut into
     blocks, blocks meet in pairs over the cluster, and a meeting gives only the links that join components.
     """
     labels = found.select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
     reps = reps.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    edges = written(open_regions(reps), "region-edges")
-    if edges.isEmpty():
+    rows = written(open_regions(reps), "region-rows")
+    if rows.isEmpty():
         return None
-    areas = connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("area"))
-    blocked, pairs = block_pairs(reps.select("doc_id", "n_shingles", "label").join(areas, "doc_id"))
+    # Rows of one label are one node: what is linked already needs no edges.
+    areas = connected_components(rows.select(F.col("label").alias("a"), F.col("hub").alias("b")))
+    areas = areas.select(F.col("node").alias("label"), F.col("component").alias("area"))
+    members = rows.select("doc_id", "label").distinct().join(areas, "label").join(reps.select("doc_id", "n_shingles"), "doc_id")
+    blocked, pairs = block_pairs(members.select("doc_id", "n_shingles", "label", "area"))
     pairs = written(pairs, "region-pairs")
     sides = pairs.select("block", "meeting", F.lit(0).alias("side"))
     sides = sides.union(pairs.filter("block <> block_2").select("block_2", "meeting", F.lit(1)))
-    texts = written(blocked.select("doc_id", "label", "block").join(packed(docs), "doc_id"), "region-texts")
+    texts = written(blocked.select("doc_id", "label", "block").join(packed(only(docs, blocked.select("doc_id"))), "doc_id"), "region-texts")
     rows = texts.join(sides, "block").repartition("meeting").sortWithinPartitions("meeting", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(held: list[tuple]) -> pa.RecordBatch:
-            sides = [([], [], []) for _ in range(2)]
+            sides = [([], []) for _ in range(2)]
             for side, *values in held:
                 for kept, value in zip(sides[side], values, strict=True):
                     kept.append(value)
@@ -319,8 +349,8 @@ def region_links(reps: DataFrame, found: DataFrame, docs: DataFrame, threshold:
         for batch in batches:
             for k in range(0, batch.num_rows, 128):
                 part = batch.slice(k, 128)
-                meeting, side, doc, label, blobs = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("meeting", "side", "doc_id", "label", "packed"))
-                for here, *row in zip(meeting, side, doc, label, text_sets(*unpacked(blobs)), strict=True):
+                meeting, side, label, blobs = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("meeting", "side", "label", "packed"))
+                for here, *row in zip(meeting, side, label, text_sets(*unpacked(blobs)), strict=True):
                     if here != at and held:
                         yield links(held)
                         held = []
@@ -330,7 +360,7 @@ def region_links(reps: DataFrame, found: DataFrame, docs: DataFrame, threshold:
         if held:
             yield links(held)
 
-    return written(rows.select("meeting", "side", "doc_id", "label", "packed").mapInArrow(run, "a long, b long"), "region-links")
+    return written(rows.select("meeting", "side", "label", "packed").mapInArrow(run, "a long, b long"), "region-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -343,7 +373,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = connected_components(links)
     more = region_links(classes.select("doc_id", "n_shingles", "keys"), found, docs)
     if more is not None and not more.isEmpty():
-        found = connected_components(links.union(more))
+        # A component of these may be a row alone so far: the joined components are nodes of their own.
+        joined = connected_components(more).select(F.col("node").alias("label"), F.col("component").alias("joined"))
+        rows = found.select("node", F.col("component").alias("label")).union(joined.select("label", "label")).distinct()
+        found = rows.join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("component"))
     classes = classes.select("set_id", F.col("doc_id").alias("node")).join(found, "node", "left")
     classes = classes.select("set_id", F.coalesce("component", "node").alias("component"))
     rows = signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
