@@ -23,24 +23,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = live.union(live.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("first"))
         moves.append(written(both.select("node", F.least(place("node"), "first")["to"].alias("to")), "cc-moves"))
         for end in ("a", "b"):
-            to = moves[-1].select(F.col("node").alias(end), F.col("to").alias(f"{end}_to"))
-            live = live.join(to, end)
+            live = live.join(moves[-1].select(F.col("node").alias(end), F.col("to").alias(f"{end}_to")), end)
         live = live.filter("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct()
         live = written(live, "cc-edges")
     if not moves:
         return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    # Least members go up to the last node, and its component comes down again, a round at a time.
-    least = [None]
-    for move in moves:
-        own = move if least[-1] is None else move.join(least[-1], "node")
-        value = F.col("node") if least[-1] is None else F.col("least")
-        least.append(written(own.groupBy(F.col("to").alias("node")).agg(F.min(value).alias("least")), "cc-least"))
-    # Nodes that no later round moves are the last of their component.
-    known = least[-1].select("node", F.col("least").alias("component"))
-    for k in reversed(range(len(moves))):
-        if k < len(moves) - 1:
-            ended = least[k + 1].join(known, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
-            known = ended
-        known = moves[k].join(known.withColumnRenamed("node", "to"), "to").select("node", "component")
-        known = written(known, "cc-components")
-    return known
+    # A node is where it went to last; rounds have ever fewer nodes, so they are followed from the last to the first.
+    last = moves[-1]
+    for move in reversed(moves[:-1]):
+        later = last.select(F.col("node").alias("to"), F.col("to").alias("end"))
+        last = move.join(later, "to", "left").select("node", F.coalesce("end", "to").alias("to"))
+    last = written(last, "cc-ends")
+    return last.join(last.groupBy("to").agg(F.min("node").alias("component")), "to").select("node", "component")
