@@ -298,6 +298,7 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
     monkeypatch.setattr(mtree, "BLOCK", 150)
     monkeypatch.setattr(mtree, "QUERIES", 3)
+    monkeypatch.setattr(mtree, "ROOTS", 2)
     got = {}
     for x in mtree.top_k(vectors, F.col("id") % 100 == 0).collect():
         got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
@@ -311,3 +312,32 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     few = mtree.top_k(vectors.filter("vec_id in (0, 1)"), F.col("id") == 0).collect()
     assert [(x.rank, x.vec_id) for x in few] == [(1, 1)]
     assert mtree.top_k(vectors.limit(0), F.col("id") == 0).count() == 0
+
+
+@pytest.mark.parametrize(("spread", "kinds"), [(1.0, 6), (1e5, 400), (1e-3, 400)])
+def test_stored_tree_search(spread, kinds):
+    """Trees of equal, of far and of nearly equal vectors, read back, give what all products give; floors leave out what is below."""
+    r = np.random.default_rng(3)
+    base = r.normal(0, spread, (kinds, 9))
+    rows = np.floor(1024 * (base[r.integers(0, kinds, 900)] + (r.random((900, 1)) < 0.2) * r.normal(0, spread, (900, 9)))).astype(np.int64)
+    ids = r.permutation(900)
+    tree = mtree.MTree.load(mtree.MTree.build(ids, rows).stored())
+    queries, own = rows[:50], ids[:50]
+    every = queries @ rows.T
+    floor = np.where(np.arange(50) % 2, np.sort(every, 1)[:, -4], mtree.NONE)
+    scores, found = tree.search(queries, own, 10, floor)
+    for q in range(50):
+        best = sorted((-int(s), int(i)) for s, i in zip(every[q], ids, strict=True) if i != own[q] and s >= floor[q])[:10]
+        assert [(-int(s), int(i)) for s, i in zip(scores[q], found[q], strict=True) if s > mtree.NONE] == best
+
+
+def test_top_k_of_large_components(spark):
+    """Components beyond 2 ** 21 are exact; what might not fit a long takes no part."""
+    rows = [(0, [2.1e6, 1.5]), (100, [-2.09e6, 2.0]), (1, [1e6 + 0.001, 7.0]), (2, [4e5, -9.25]), (3, [1e300, 1.0]), (4, [2.1e6, 1.501])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(x.query_id, x.rank): (x.vec_id, x.score) for x in mtree.top_k(vectors, F.col("id") % 100 == 0).collect()}
+    good = {i: [int(np.floor(1024 * c)) for c in v] for i, v in rows if i != 3}
+    for q in (0, 100):
+        best = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q)
+        assert [got[q, k + 1] for k in range(4)] == [(i, -s) for s, i in best]
+    assert len(got) == 8
