@@ -92,18 +92,19 @@ def test_repeated_bytes(docs):
     check_removal(docs, corpus())
 
 
-@pytest.mark.parametrize("limits", [(2, 1_000_000), (2, 0)])
+@pytest.mark.parametrize("limits", [(1, 1_000_000), (1, 0), (3, 1_000_000)])
 def test_repeated_bytes_of_hot_anchors(docs, monkeypatch, limits):
-    for name, value in zip(("HOT", "LOOKED_UP"), limits, strict=True):
+    """Few variants make an anchor hot, and few places are salted."""
+    for name, value in zip(("LIMIT", "LOOKED_UP"), limits, strict=True):
         monkeypatch.setattr(suffixes, name, value)
-    run = suffixes.surroundings
+    check_removal(docs, corpus())
 
-    def marked(wanted, docs):  # workers import the module anew, so the limit goes with the data
-        out = run(wanted.withColumn("places", F.when(F.col("places") > 2, F.col("places") + 1000).otherwise(F.col("places"))), docs)
-        return out
 
-    monkeypatch.setattr(suffixes, "surroundings", marked)
-    check_removal(docs, corpus())
+def test_known_digests():
+    known = np.array([[1, 5], [3, 1], [3, 4], [3, 9], [8, 2]], np.uint64)
+    two = np.array([[3, 4], [3, 5], [8, 2], [9, 9], [0, 0], [3, 9]], np.uint64)
+    assert suffixes._known(two, known).tolist() == [True, False, True, False, False, True]
+    assert suffixes._known(two, known[:0]).tolist() == [False] * 6
 
 
 def test_repeated_rows_and_null_ids(spark):

@@ -3,12 +3,14 @@
 Every 200-byte window has an anchor: its 64-byte string of least hash (the leftmost of equals). Equal windows have
 equal anchors at equal places, so only windows whose anchor occurs twice can repeat, and anchors, about one for each
 70 bytes, are all that is counted over the whole corpus. Windows that start at an anchor or at a text's edge are
-compared by 128 bits of hash; between two repeated ones that overlap nothing is left to find. What is left are
-windows at the borders of repeats: the bytes around their anchors, with those around all equal anchors, go to one
-task, where suffixes of one alignment are sorted by merging. Two suffixes are compared through prefix hashes: binary
-search finds their common extension, and the byte after it decides. Neighbours that share 200 bytes are compared byte
-by byte before they count. Anchors with more than HOT places are not gathered: digests of their windows are counted
-over the cluster instead.
+compared by two hashes of different kinds (the polynomial of the anchor, XXH3 of the 200 bytes: 128 bits); between two
+repeated ones that overlap nothing is left to find. What is left are windows at the borders of repeats: the bytes
+around their anchors. Equal surroundings of equal anchors become one variant with a count, whose places are repeats as a
+whole; bytes of equal digests are compared. An anchor's variants go to one task, where suffixes of one alignment are
+sorted by merging: two suffixes are compared through prefix hashes, binary search finds their common extension, and
+the byte after it decides. Suffixes whose hash of 200 bytes no other has are left out before. Neighbours that share
+200 bytes are compared byte by byte before they count. What is found of a variant goes back to its places. Anchors
+with more than LIMIT variants are not gathered: digests of their windows are counted over the cluster instead.
 
 Defined results: null or empty text has no bytes and nothing removed; texts under 200 bytes keep all; equal rows are
 texts of their own, so each loses what the other has; a text's own repeats count, overlapping ones too; extra columns
@@ -30,10 +32,15 @@ from tidemark.llm.spans import pack, remove_spans, text_crc
 
 WINDOW = 200
 GRAM = 64
-HOT = 1000
+#: Variants of an anchor that one task sorts at most, and places of a variant that one task gives its spans to.
+LIMIT = 10_000
 SECOND = mix(np.arange(1, 257, dtype=np.uint64))
 #: Anchors whose suffixes are sorted at a time.
 ROWS_AT_ONCE = 2_000
+#: Windows of one or more alignments that are sorted at a time (a single alignment has LIMIT at most).
+WINDOWS_AT_ONCE = 500_000
+#: Distinct surroundings whose bytes a task has at hand to compare.
+VARIANTS_HELD = 50_000
 #: Digests of hot windows that are broadcast at most (16 MB).
 LOOKED_UP = 1_000_000
 #: Windows of hot anchors that are tested together first.
@@ -111,6 +118,13 @@ def sort_suffixes(text: Prefixes, starts: np.ndarray, segment: np.ndarray, limit
 
 def repeated_windows(text: Prefixes, starts: np.ndarray, segment: np.ndarray, limit: int = WINDOW) -> np.ndarray:
     """Which of the suffixes share their first `limit` bytes with another of their segment."""
+    out = np.zeros(len(starts), bool)
+    # A suffix whose hash of `limit` bytes no other of its segment has is none of them.
+    hashes = text.hash(starts, limit)
+    by = np.lexsort((hashes, segment))
+    equal = (segment[by[1:]] == segment[by[:-1]]) & (hashes[by[1:]] == hashes[by[:-1]])
+    likely = np.sort(by[np.append(equal, False) | np.append(False, equal)]) if len(by) else by
+    starts, segment = starts[likely], segment[likely]
     order = sort_suffixes(text, starts, segment, limit)
     a, b = starts[order[:-1]], starts[order[1:]]
     near = np.flatnonzero((segment[:-1] == segment[1:]) & (text.hash(a, limit) == text.hash(b, limit)))
@@ -120,9 +134,8 @@ def repeated_windows(text: Prefixes, starts: np.ndarray, segment: np.ndarray, li
         same = (text.data[a[some, None] + place] == text.data[b[some, None] + place]).all(1)
         near[at : at + 20_000] = np.where(same, some, -1)
     near = near[near >= 0]
-    out = np.zeros(len(starts), bool)
-    out[order[near]] = True
-    out[order[near + 1]] = True
+    out[likely[order[near]]] = True
+    out[likely[order[near + 1]]] = True
     return out
 
 
@@ -131,6 +144,8 @@ def anchors(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "text_crc", "at", "first", "last", "gram", "whole"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest as digest
+
         for batch in steps(batches, limit=1 << 20):
             data, starts = utf8(batch.column(1))
             sizes = np.diff(starts)
@@ -163,13 +178,14 @@ def anchors(docs: DataFrame) -> DataFrame:
             at = np.concatenate([at, edges])
             first, last = (np.concatenate([x, starts[edge_doc] + k]) for x, k in ((first, 0), (last, -1)))
             whole = at + WINDOW <= starts[doc + 1]
-            begins = np.where(whole, at, 0)
+            raw = data.tobytes()
+            wholes = np.array([digest(raw[a : a + WINDOW]) for a in np.where(whole, at, 0).tolist()], np.uint64)
             base = starts[doc]
             rows = pa.array(doc)
             columns = [batch.column(0).take(rows), batch.column(2).take(rows)]
             columns += [pa.array((x - base).astype(np.int32)) for x in (at, first, last)]
             columns.append(pa.array(grams[at].view(np.int64)))
-            columns.append(pa.array(mix(text.hash(begins, WINDOW)).view(np.int64), mask=~whole))
+            columns.append(pa.array(wholes.view(np.int64), mask=~whole))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_crc(F.col("text")).alias("text_crc"))
@@ -181,7 +197,7 @@ PLACE = ["doc_id", "text_crc", "at", "first", "last"]
 
 def shared_anchors(docs: DataFrame) -> DataFrame:
     """Anchors that occur at two places or more, with the number of places."""
-    found = anchors(docs)
+    found = written(anchors(docs), "suffix-anchors")
     places = found.groupBy("gram").agg(F.count("*").alias("places")).filter("places > 1")
     return found.join(places, "gram").select(*PLACE, "gram", "whole", "places")
 
@@ -212,23 +228,30 @@ def open_grams(flagged: DataFrame) -> DataFrame:
     return texts.select("places").mapInArrow(run, "gram long").distinct()
 
 
-AROUND = "doc_id long, text_crc long, gram long, first int, last int, at int, hot boolean, bytes binary"
+AROUND = "doc_id long, text_crc long, gram long, ahead int, at int, places long, variant binary, bytes binary"
+VARIANT = ["gram", "ahead", "variant"]
+CARRIED = [*VARIANT, "places"]
 
 
 def surroundings(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """For each wanted anchor the bytes of all its windows."""
+    """For each wanted anchor a digest of the bytes of all its windows (variant), and where the first of these is before it (ahead).
+
+    A task sends the bytes themselves once for each of the last VARIANTS_HELD variants it has met; for others they are null.
+    """
     lists = wanted.groupBy("doc_id", "text_crc").agg(F.collect_set(F.struct("at", "first", "last", "gram", "places")).alias("wanted"))
     lists = lists.select(F.col("doc_id").alias("want_doc"), F.col("text_crc").alias("want_crc"), "wanted")
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_crc(F.col("text")).alias("text_crc"), pack(F.col("text").cast("string")).alias("packed"))
     same = packed["doc_id"].eqNullSafe(lists["want_doc"]) & (packed["text_crc"] == lists["want_crc"])
     names = [x.split()[0] for x in AROUND.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
+        from xxhash import xxh3_128_digest
 
         unpack = zstandard.ZstdDecompressor().decompress
         rows: list[tuple] = []
+        held: dict[bytes, bytes] = {}
 
         def batch() -> pa.RecordBatch:
             columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -239,8 +262,16 @@ def surroundings(wanted: DataFrame, docs: DataFrame) -> DataFrame:
             for doc, crc, blob, places in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 text = unpack(blob)
                 for p in places:
-                    first, last = p["first"], p["last"]
-                    rows.append((doc, crc, p["gram"], first, last, p["at"], p["places"] > HOT, text[first : last + WINDOW]))
+                    around = text[p["first"] : p["last"] + WINDOW]
+                    variant = xxh3_128_digest(around)
+                    known = held.get(variant)
+                    if known is None:
+                        if len(held) >= VARIANTS_HELD:
+                            held.clear()
+                        held[variant] = around
+                    elif known != around:
+                        raise ValueError("two strings with one 128-bit digest")
+                    rows.append((doc, crc, p["gram"], p["at"] - p["first"], p["at"], p["places"], variant, around if known is None else None))
                     if len(rows) >= 5000:
                         yield batch()
         if rows:
@@ -250,39 +281,57 @@ def surroundings(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, AROUND)
 
 
-def sorted_repeats(around: DataFrame) -> DataFrame:
-    """Spans from the first to the last repeated window of each anchor, by sorting the suffixes around equal anchors."""
-    dealt = around.filter("not hot").select("doc_id", "text_crc", "gram", "first", "last", "at", "bytes")
-    dealt = dealt.repartition("gram").sortWithinPartitions("gram")
+def variants(around: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each distinct surroundings of an anchor with its number n: those of anchors with up to LIMIT of them, and those of others."""
+    found = around.groupBy(*VARIANT).agg(F.count("*").alias("n"), F.max("places").alias("places"), F.min("bytes").alias("bytes"), F.max("bytes").alias("also"))
+    # Each task has sent the bytes of a variant at least once: of all that were sent least and greatest are the same.
+    same = F.when(F.col("bytes") == F.col("also"), F.col("bytes")).otherwise(F.raise_error(F.lit("two strings with one 128-bit digest")).cast("binary"))
+    found = written(found.select(*VARIANT, "n", "places", same.alias("bytes")), "suffix-variants")
+    few, many = found.filter(F.col("places") <= LIMIT), found.filter(F.col("places") > LIMIT)
+    hot = written(many.groupBy("gram").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > LIMIT).select("gram"), "suffix-hot")
+    return few.union(many.join(hot, "gram", "left_anti").select(*few.columns)), many.join(hot, "gram", "left_semi").select(*few.columns)
+
+
+FOUND = "gram long, ahead int, variant binary, places long, low int, high int"
+
+
+def sorted_repeats(kinds: DataFrame) -> DataFrame:
+    """For each variant the bytes from its first to its last repeated window, from the anchor on, by sorting the suffixes around equal anchors."""
+    dealt = kinds.select(*CARRIED, "n", "bytes").repartition("gram").sortWithinPartitions("gram")
 
     def solved(whole: pa.Table) -> pa.RecordBatch:
         whole = whole.combine_chunks()
-        gram, first, last, at = (whole.column(c).to_numpy() for c in ("gram", "first", "last", "at"))
-        # Equal surroundings are repeats as a whole; one of them stands for all in the sort.
-        same: dict[tuple, int] = {}
-        keys = zip(gram.tolist(), (at - first).tolist(), whole.column("bytes").to_pylist(), strict=True)
-        like = np.array([same.setdefault(key, i) for i, key in enumerate(keys)])
-        count = np.bincount(like, minlength=len(like))
-        begin, end = first.copy(), last + WINDOW
-        found = count[like] > 1
-        rep = np.flatnonzero(count)
-        mates = np.searchsorted(gram[rep], gram[rep], side="right") - np.searchsorted(gram[rep], gram[rep])
-        rep = rep[mates > 1]
-        if len(rep):
+        gram, ahead, n = (whole.column(c).to_numpy() for c in ("gram", "ahead", "n"))
+        sizes = np.diff(utf8(whole.column("bytes").combine_chunks())[1])
+        first = -ahead.astype(np.int64)
+        begin, end, found = first.copy(), first + sizes, n > 1
+        mates = np.searchsorted(gram, gram, side="right") - np.searchsorted(gram, gram)
+        rep = np.flatnonzero(mates > 1)
+        if len(rep) and not found.all():
             data, starts = utf8(whole.column("bytes").combine_chunks().take(pa.array(rep)))
-            n = (last - first + 1).astype(np.int64)[rep]
-            record = np.repeat(np.arange(len(n)), n)
-            step = np.arange(len(record)) - np.repeat(np.cumsum(n) - n, n)
-            offset = (at - first)[rep][record] - step  # windows of one alignment can be equal, others can't
-            group = np.cumsum(np.append(True, gram[rep][1:] != gram[rep][:-1]))[record]
-            order = np.lexsort((offset, group))
-            key = group[order] * (WINDOW + 1) + offset[order]
+            text = Prefixes(data)
+            windows = sizes[rep] - WINDOW + 1
+            record = np.repeat(np.arange(len(rep), dtype=np.int32), windows)
+            step = (np.arange(len(record)) - np.repeat(np.cumsum(windows) - windows, windows)).astype(np.int32)
+            # Windows of one alignment can be equal, others can't.
+            group = np.cumsum(np.append(True, gram[rep][1:] != gram[rep][:-1])) * (WINDOW + 1)
+            key = group[record] + ahead[rep][record] - step
+            order = np.argsort(key, kind="stable")
+            key = key[order]
             dup = np.zeros(len(record), bool)
-            dup[order] = repeated_windows(Prefixes(data), (starts[record] + step)[order], key)
+            at = 0
+            while at < len(order):
+                stop = min(at + WINDOWS_AT_ONCE, len(order))
+                if stop < len(order):  # an alignment isn't cut
+                    cut = int(np.searchsorted(key, key[stop]))
+                    stop = cut if cut > at else int(np.searchsorted(key, key[stop], side="right"))
+                some = order[at:stop]
+                dup[some] = repeated_windows(text, starts[record[some]] + step[some], key[at:stop])
+                at = stop
             _widest(np.flatnonzero(dup), record, step, rep, first, begin, end, found)
         row = pa.array(np.flatnonzero(found))
-        columns = [whole.column("doc_id").combine_chunks().take(row), whole.column("text_crc").combine_chunks().take(row)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(begin[found].astype(np.int32)), pa.array(end[found].astype(np.int32))], names=["doc_id", "text_crc", "start", "end"])
+        columns = [whole.column(c).combine_chunks().take(row) for c in CARRIED]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(begin[found].astype(np.int32)), pa.array(end[found].astype(np.int32))], names=[*CARRIED, "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -291,7 +340,7 @@ def sorted_repeats(around: DataFrame) -> DataFrame:
                 part = pa.Table.from_batches([batch.slice(at, ROWS_AT_ONCE)])
                 held = part if held is None else pa.concat_tables([held, part])
                 gram = held.column("gram").to_numpy()
-                # Equal anchors (HOT at most) stay together: the last of them may go on in the next rows.
+                # An anchor's variants (LIMIT at most) stay together: the last of them may go on in the next rows.
                 done = int(np.searchsorted(gram, gram[-1]))
                 if done:
                     yield solved(held.slice(0, done))
@@ -299,7 +348,7 @@ def sorted_repeats(around: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield solved(held)
 
-    return dealt.mapInArrow(run, "doc_id long, text_crc long, start int, end int")
+    return dealt.mapInArrow(run, FOUND)
 
 
 def _widest(hits: np.ndarray, record: np.ndarray, step: np.ndarray, rows: np.ndarray, first: np.ndarray, begin: np.ndarray, end: np.ndarray, found: np.ndarray) -> None:
@@ -318,19 +367,20 @@ def _widest(hits: np.ndarray, record: np.ndarray, step: np.ndarray, rows: np.nda
 
 def _windows_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, number, place in the joined bytes and offset from the anchor of each window of each row."""
-    first, last, at = (part.column(c).to_numpy().astype(np.int64) for c in ("first", "last", "at"))
-    n = last - first + 1
+    starts = utf8(part.column("bytes"))[1]
+    n = np.diff(starts) - WINDOW + 1
     record = np.repeat(np.arange(len(n)), n)
     step = np.arange(len(record)) - np.repeat(np.cumsum(n) - n, n)
-    starts = utf8(part.column("bytes"))[1]
-    return record, step, starts[record] + step, (at - first)[record] - step
+    return record, step, starts[record] + step, part.column("ahead").to_numpy().astype(np.int64)[record] - step
 
 
 def _digests(text: Prefixes, at: np.ndarray, length: int, salt: np.ndarray) -> np.ndarray:
-    """128 bits for each string of `length` bytes, as two columns."""
-    half = length // 2
-    a, b = mix(text.hash(at, half) + salt), mix(text.hash(at + half, length - half))
-    return np.column_stack([mix(a * BASE + b), mix(b * BASE ^ a)])
+    """128 bits for each string of `length` bytes, as two columns: the polynomial hash, and XXH3."""
+    from xxhash import xxh3_64_intdigest as digest
+
+    raw = text.data.tobytes()
+    other = np.array([digest(raw[a : a + length]) for a in at.tolist()], np.uint64)
+    return np.column_stack([mix(text.hash(at, length) + salt), other])
 
 
 def _cells(text: Prefixes, record: np.ndarray, at: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -342,7 +392,14 @@ def _cells(text: Prefixes, record: np.ndarray, at: np.ndarray, offset: np.ndarra
 
 
 def _known(two: np.ndarray, known: np.ndarray) -> np.ndarray:
-    return np.isin(two[:, 0] * BASE ^ two[:, 1], known)
+    """Which digests are among the known, which are sorted."""
+    at = np.searchsorted(known[:, 0], two[:, 0])
+    out = np.zeros(len(two), bool)
+    for _ in range(np.unique(known[:, 0], return_counts=True)[1].max(initial=0)):  # one step, but for equal first halves
+        here = np.minimum(at, len(known) - 1)
+        out |= (known[here] == two).all(1)
+        at += 1
+    return out
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,16 +445,16 @@ def _broadcast(twice: DataFrame):
         return None
     found = twice.toArrow()
     two = np.column_stack([found.column(c).to_numpy() for c in ("high", "low")]).astype(np.int64).view(np.uint64)
-    return twice.sparkSession.sparkContext.broadcast(np.unique(two[:, 0] * BASE ^ two[:, 1]))
+    return twice.sparkSession.sparkContext.broadcast(two[np.lexsort((two[:, 1], two[:, 0]))])
 
 
-def counted_repeats(around: DataFrame) -> DataFrame:
-    """The same for hot anchors, whose places aren't gathered: window digests that occur twice are looked up.
+def counted_repeats(hot: DataFrame) -> DataFrame:
+    """The same for anchors of more than LIMIT variants, which aren't gathered: window digests that occur twice are looked up.
 
     Windows are first tested by cells: those whose common bytes occur once can't repeat. Up to LOOKED_UP digests (a
     few for each hot anchor) are broadcast; where there are more, cells aren't tested and windows are joined.
     """
-    hot = around.filter("hot").select("doc_id", "text_crc", "first", "last", "at", "bytes")
+    hot = written(hot.select(*CARRIED, "n", "bytes"), "suffix-hot-variants")
 
     def cores(part: pa.RecordBatch) -> np.ndarray:
         record, _, at, offset = _windows_of(part)
@@ -421,24 +478,36 @@ def counted_repeats(around: DataFrame) -> DataFrame:
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
             two, record, step = likely(part)
-            first = part.column("first").to_numpy()
-            begin, end, found = first.copy(), first.copy(), np.zeros(len(first), bool)
+            first = -part.column("ahead").to_numpy().astype(np.int64)
+            found = part.column("n").to_numpy() > 1
+            begin, end = first.copy(), first + np.diff(utf8(part.column("bytes"))[1])
             _widest(np.flatnonzero(_known(two, known.value)), record, step, np.arange(len(first)), first, begin, end, found)
             rows = pa.array(np.flatnonzero(found))
-            yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in ("doc_id", "text_crc")), pa.array(begin[found]), pa.array(end[found])], names=["doc_id", "text_crc", "start", "end"])
+            columns = [*(part.column(c).take(rows) for c in CARRIED), pa.array(begin[found].astype(np.int32)), pa.array(end[found].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*CARRIED, "low", "high"])
 
     if known is not None:
-        return hot.mapInArrow(look_up, "doc_id long, text_crc long, start int, end int")
+        return hot.mapInArrow(look_up, FOUND)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
             two, record, step = likely(part)
-            rows, start = pa.array(record), part.column("first").to_numpy()[record] + step
-            columns = [*(part.column(c).take(rows) for c in ("doc_id", "text_crc")), pa.array(start.astype(np.int32)), *(pa.array(two[:, k].copy().view(np.int64)) for k in (0, 1))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_crc", "start", "high", "low"])
+            rows, low = pa.array(record), step - part.column("ahead").to_numpy()[record]
+            columns = [*(part.column(c).take(rows) for c in CARRIED), pa.array(low.astype(np.int32)), *(pa.array(two[:, k].copy().view(np.int64)) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*CARRIED, "low", "one", "two"])
+
+    windows = windows.select(F.col("high").alias("one"), F.col("low").alias("two"))
+    found = hot.mapInArrow(each, "gram long, ahead int, variant binary, places long, low int, one long, two long").join(windows, ["one", "two"])
+    whole = hot.filter("n > 1").select(*CARRIED, (-F.col("ahead")).alias("low"), (F.octet_length("bytes") - F.col("ahead")).alias("high"))
+    return found.select(*CARRIED, "low", (F.col("low") + WINDOW).alias("high")).union(whole)
+
 
-    found = hot.mapInArrow(each, "doc_id long, text_crc long, start int, high long, low long").join(windows, ["high", "low"])
-    return found.select("doc_id", "text_crc", "start", (F.col("start") + WINDOW).alias("end"))
+def spans_of(around: DataFrame, found: DataFrame) -> DataFrame:
+    """What was found of a variant at each of its places. The places of common anchors are salted."""
+    salts = F.ceil(F.col("places") / LIMIT).cast("int")
+    rows = around.select("doc_id", "text_crc", "at", *VARIANT, F.pmod(F.xxhash64("doc_id", "text_crc", "at"), salts).cast("int").alias("salt"))
+    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return rows.join(found, [*VARIANT, "salt"]).select("doc_id", "text_crc", (F.col("at") + F.col("low")).alias("start"), (F.col("at") + F.col("high")).alias("end"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -449,8 +518,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     grams = written(open_grams(flagged.withColumn("copy", F.lit(0))), "suffix-open")
     wanted = flagged.filter("first <= last").join(grams, "gram", "left_semi")
     around = written(surroundings(wanted, docs), "suffix-around")
+    few, many = variants(around)
+    found = sorted_repeats(few).union(counted_repeats(many))
     known = flagged.filter("repeated").select("doc_id", "text_crc", F.col("at").alias("start"), (F.col("at") + WINDOW).alias("end"))
-    return written(known.union(sorted_repeats(around)).union(counted_repeats(around)), "suffix-spans")
+    return written(known.union(spans_of(around, found)), "suffix-spans")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
