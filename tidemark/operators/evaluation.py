@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.io import staged
 
-def running_totals(rows: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column], parts: int = 64) -> DataFrame:
+
+def running_totals(rows: DataFrame, order: list[Column], sums: dict[str, Column], parts: int | None = None) -> DataFrame:
     """Running sums over the whole of rows in a global order without one task for all.
 
-    Rows are dealt by ranges of the order (keys); each range's own sums come from a window within it, and the sums of
-    the ranges before from a table with one row a range.
+    Rows are dealt by ranges of the order (as many as the session has shuffle partitions, if not told); each range's own
+    sums come from a window within it, and the sums of the ranges before from a table with one row a range. The ranges
+    are written before both uses: dealt twice, they could get other bounds, which are sampled.
     """
-    ranged = rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = staged(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranges")
     own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ranged = ranged.withColumns({f"own_{k}": F.sum(v).over(own) for k, v in sums.items()})
-    totals = ranged.groupBy("part").agg(*[F.max(F.struct(F.col("own_" + next(iter(sums))).alias("lead"), *[f"own_{k}" for k in sums])).alias("m")])
+    totals = ranged.groupBy("part").agg(*[F.sum(v).alias(f"own_{k}") for k, v in sums.items()])
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("part", *[F.coalesce(F.sum(F.col("m")[f"own_{k}"]).over(before), F.lit(0)).alias(f"before_{k}") for k in sums])
-    out = ranged.join(F.broadcast(totals), "part")  # `parts` rows
+    totals = totals.select("part", *[F.coalesce(F.sum(f"own_{k}").over(before), F.lit(0)).alias(f"before_{k}") for k in sums])
+    out = ranged.withColumns({f"own_{k}": F.sum(v).over(own) for k, v in sums.items()}).join(F.broadcast(totals), "part")  # `parts` rows
     return out.withColumns({k: F.col(f"own_{k}") + F.col(f"before_{k}") for k in sums}).drop("part", *[f"{x}_{k}" for x in ("own", "before") for k in sums])
 
 
@@ -26,7 +29,7 @@ def roc_points(rows: DataFrame, score: str, label: str, tie: str) -> DataFrame:
     """A point for each row in descending order of score: seq, fpr and tpr to 4 places. With one class there are none."""
     order = [F.desc(score), F.asc(tie)]
     sums = {"seq": F.lit(1), "tp": F.col(label).cast("long"), "fp": 1 - F.col(label).cast("long")}
-    run = running_totals(rows.select(score, label, tie), [tie], order, sums)
+    run = running_totals(rows.select(score, label, tie), order, sums)
     totals = rows.agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
     run = run.crossJoin(F.broadcast(totals)).filter("p > 0 AND n > 0")  # one row
     return run.select("seq", score, label, tie, F.bround(F.col("fp") / F.col("n"), 4).alias("fpr"), F.bround(F.col("tp") / F.col("p"), 4).alias("tpr"))
@@ -45,7 +48,7 @@ def auc_eer(points: DataFrame) -> DataFrame:
 def roc_by_score(rows: DataFrame, score: str, label: str) -> DataFrame:
     """One point for each distinct score, ties merged."""
     merged = rows.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("all"))
-    run = running_totals(merged, [score], [F.desc(score)], {"seq": F.lit(1), "tp": F.col("pos"), "fp": F.col("all") - F.col("pos")})
+    run = running_totals(merged, [F.desc(score)], {"seq": F.lit(1), "tp": F.col("pos"), "fp": F.col("all") - F.col("pos")})
     totals = merged.agg(F.sum("pos").alias("p"), (F.sum("all") - F.sum("pos")).alias("n"))
     run = run.crossJoin(F.broadcast(totals)).filter("p > 0 AND n > 0")  # one row
     return run.select("seq", score, (F.col("fp") / F.col("n")).alias("fpr"), (F.col("tp") / F.col("p")).alias("tpr"))
@@ -54,7 +57,7 @@ def roc_by_score(rows: DataFrame, score: str, label: str) -> DataFrame:
 def rank_auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """Share of (positive, negative) pairs in the right order, ties one half, from counts by score: no pairs are made."""
     merged = rows.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    run = running_totals(merged, [score], [F.asc(score)], {"below": F.col("neg")})
+    run = running_totals(merged, [F.asc(score)], {"below": F.col("neg")})
     wins = F.col("pos") * (F.col("below") - F.col("neg") / 2)
     return run.agg(F.sum(wins).alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(F.try_divide("w", F.col("p") * F.col("n")).alias("auc"))
 
@@ -76,7 +79,7 @@ def acceptance_at(rows: DataFrame, score: str, label: str, rejected: float) -> D
 def group_split(rows: DataFrame, group: str, share: float = 0.8) -> DataFrame:
     """rows with `fold`: the first int(share * n) groups in order are train, the others test; no group is in both."""
     groups = rows.select(group).distinct()
-    placed = running_totals(groups, [group], [F.asc(group)], {"place": F.lit(1)})
+    placed = running_totals(groups, [F.asc(group)], {"place": F.lit(1)})
     n = groups.agg(F.floor(F.count("*") * share).alias("cut"))
     placed = placed.crossJoin(F.broadcast(n)).select(group, F.when(F.col("place") <= F.col("cut"), "train").otherwise("test").alias("fold"))  # n is one row
     return rows.join(placed, group)

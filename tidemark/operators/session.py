@@ -7,7 +7,8 @@ import hmac
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -25,9 +26,27 @@ def consent_state(given: Column, mock: Column, bypass: Column, env: Column) -> C
     return F.when(given, "consented").when(mock | (bypass & env.isin("demo", "development")), "bypassed").otherwise("rejected")
 
 
-def admitted(sessions: DataFrame, key: str, start: str, most: int) -> DataFrame:
-    """The first `most` sessions by start."""
-    return sessions.orderBy(start, key).limit(most)
+def admitted(sessions: DataFrame, host: str, key: str, start: str, end: str, most: int) -> DataFrame:
+    """Sessions that a host admits: one is refused that starts while `most` admitted ones are open (those that end at its start aren't).
+
+    A state machine over each host's sessions in order of start and key; its state is the `most` open ends.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ends = None, []
+        for batch in batches:
+            keep = []
+            for of, begins, closes in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (host, start, end)), strict=True):
+                if of != at:
+                    at, ends = of, []
+                ends = [e for e in ends if e > begins]
+                keep.append(len(ends) < most)
+                if keep[-1]:
+                    ends.append(closes)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    rows = sessions.filter(F.col(start).isNotNull() & F.col(end).isNotNull())
+    return rows.repartition(host).sortWithinPartitions(host, start, key).mapInArrow(run, rows.schema)
 
 
 def unexpired(rows: DataFrame, created: str, ttl_sec: int, now: Column) -> DataFrame:
@@ -65,7 +84,13 @@ def light_sequences(rows: DataFrame, nonce: str, secret: str, steps: int = 7, st
     return rows.withColumn("code", code(F.col(nonce))).withColumn("sequence", F.when(F.col("code").isNotNull(), sequence)).drop("code")
 
 
-def latest_challenge(rows: DataFrame, key: str, time: str) -> DataFrame:
-    """The newest challenge of each kind of a key."""
-    w = Window.partitionBy(key, "kind").orderBy(F.desc(time))
-    return rows.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
+def challenge_of(challenges: Column, kind: str) -> Column:
+    """The first challenge of a kind in an array; null where there is none."""
+    return F.get(F.filter(challenges, lambda c: c["kind"] == kind), F.lit(0))
+
+
+def opened(requests: DataFrame, key: str, secret: str, now: Column, ttl_sec: int = 300) -> DataFrame:
+    """A session for each request (its key is the nonce's seed): nonce, phrase, light sequence and expiry."""
+    rows = requests.withColumn("nonce", F.substring(F.sha2(F.concat_ws("/", F.lit(secret), F.col(key).cast("string")), 256), 1, 32))
+    rows = light_sequences(rows.withColumn("phrase", phrase(F.col("nonce"))), "nonce", secret)
+    return rows.withColumn("expires_at", now.cast("long") + ttl_sec).withColumn("used", F.lit(False))

@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators.joins import band_join_nearest  # noqa: F401  lip closure over long tables uses it
 from tidemark.operators.text import bilabial, first_keyword
 from tidemark.operators.windows import best_lag, lagged_correlations
 from tidemark.plans import params as P
@@ -22,14 +21,14 @@ def provenance(label: Column, intervals_ms: Column, fps: Column, width: Column,
 
     def of(v: Column) -> Column:
         enough = F.size(v) >= P.LEAST_INTERVALS
-        drop = F.try_divide(F.size(F.filter(v, lambda x: x > P.DROP_FACTOR * C.median(v))), F.size(v))
+        drop = C.let(C.median(v), lambda m: F.try_divide(F.size(F.filter(v, lambda x: x > P.DROP_FACTOR * m)), F.size(v)))
         virtual = first_keyword(label, P.CAMERA_KEYWORDS).isNotNull()
         tests = [
             (virtual, "VIRTUAL_CAMERA", 0.85),
-            (enough & (C.deviation(v) < P.TOO_SMOOTH_STD_MS), "TIMING_TOO_SMOOTH", 0.40),
-            (enough & (drop > P.DROP_HIGH), "FRAME_DROPS", 0.30),
-            ((fps > 120) | (fps < 5), "IMPOSSIBLE_RATE", 0.35),
-            ((width <= 0) | (height <= 0), "IMPOSSIBLE_SIZE", 0.50),
+            (enough & (C.deviation(v) < P.TOO_SMOOTH_STD_MS), "JITTER_TOO_SMOOTH", 0.40),
+            (enough & (drop > P.DROP_HIGH), "HIGH_FRAME_DROPS", 0.30),
+            ((fps > 120) | (fps < 5), "ANOMALOUS_FPS", 0.35),
+            ((width <= 0) | (height <= 0), "INVALID_RESOLUTION", 0.50),
         ]
         risk = F.greatest(F.lit(0.0), *[F.when(c, r).otherwise(0.0) for c, _, r in tests])
         return F.struct(risk.alias("risk"), flags(*[(c, n) for c, n, _ in tests]).alias("flags"))
@@ -161,7 +160,7 @@ def quality(blur: Column, brightness: Column, face_ratio: Column, drop: Column)
     """Trust in a window's pictures and its flags."""
     trust = 0.40 * C.ramp(blur, 25, 95) + 0.30 * (1 - C.clip(F.abs(brightness - 128) / 100, 0, 1)) + 0.20 * C.clip(face_ratio, 0, 1) + 0.10 * (1 - C.clip(drop, 0, 1))
     trust = F.when(face_ratio < 0.08, trust * 0.40).otherwise(trust)
-    return F.struct(C.clip(trust, 0, 1).alias("trust"), flags((blur < 40, "BLURRY"), (brightness < 35, "TOO_DARK"), (brightness > 225, "TOO_BRIGHT"), (face_ratio < 0.08, "FACE_TOO_SMALL")).alias("flags"))
+    return F.struct(C.clip(trust, 0, 1).alias("trust"), flags((blur < 40, "MOTION_BLUR"), (brightness < 35, "POOR_LIGHTING_DARK"), (brightness > 225, "POOR_LIGHTING_OVEREXPOSED"), (face_ratio < 0.08, "FACE_NOT_VISIBLE")).alias("flags"))
 
 
 def result(module: str, status: Column, risk: Column, confidence: Column, **features: Column) -> Column:
@@ -171,11 +170,12 @@ def result(module: str, status: Column, risk: Column, confidence: Column, **feat
     return F.struct(F.lit(module).alias("module_id"), status.alias("status"), C.clip(risk, 0, 1).alias("risk"), F.when(status == "skipped", 0.0).otherwise(confidence).alias("confidence"), known.alias("features"))
 
 
-def source_module(source: Column, light: Column, replay: Column, challenged: Column) -> Column:
+def source_module(source: Column, light: Column, replay: Column, challenged: Column, known: Column) -> Column:
+    """`known`: whether there is a camera label or a frame interval at all."""
     lit = challenged & (light["snr"] >= 1.5)
     risk = F.greatest(source, F.coalesce(replay, F.lit(0.0)), F.when(lit, C.clip(0.8 - light["corr_face"], 0, 1)).otherwise(0.0))
-    confidence = F.when(lit, F.least(F.lit(1.0), 0.3 * light["snr"] + 0.1)).otherwise(0.85)
-    return result("source", F.lit("ok"), risk, confidence, source_risk=source, light_corr_face=light["corr_face"], light_lag_ms=light["lag_ms"], light_neck_face_corr=light["neck_face_corr"],
+    confidence = F.when(lit, F.least(F.lit(1.0), 0.3 * light["snr"] + 0.1)).when(replay >= 0.50, 0.90).when(known, 0.85).otherwise(0.50)
+    return result("M1_source", F.lit("ok"), risk, confidence, source_risk=source, light_corr_face=light["corr_face"], light_lag_ms=light["lag_ms"], light_neck_face_corr=light["neck_face_corr"],
                   light_neck_face_ratio=light["neck_face_ratio"], light_snr=light["snr"], replay_score=replay)
 
 
@@ -184,19 +184,19 @@ def audio_module(samples: Column, rms: Column, logit: Column) -> Column:
     spoof = F.when(logit > 0, C.clip(logit / 3, 0, 1)).otherwise(0.0)
     status = F.when(samples < 8000, "skipped").when(rms < 50, "degraded").otherwise("ok")
     spoof = F.when(status == "ok", spoof).otherwise(0.0)
-    return result("audio", status, spoof, F.when(status == "degraded", 0.15).otherwise(0.80), spoof_max=spoof, spoof_mean=0.75 * spoof)
+    return result("M2_audio", status, spoof, F.when(status == "degraded", 0.15).when(logit.isNotNull(), 0.75).otherwise(0.40), spoof_max=spoof, spoof_mean=0.75 * spoof)
 
 
 def appearance_module(edge: Column, clip_logit: Column, flicker: Column, trust: Column) -> Column:
     risk = F.greatest(C.sigmoid(edge - 1.5, 5), 1.2 * flicker)
-    return result("appearance", F.lit("ok"), risk, C.clip(trust, 0.20, 1), edge_logit=edge, clip_logit=clip_logit, identity_flicker=flicker, model_disagreement=C.disagreement(edge, clip_logit))
+    return result("M3_video", F.lit("ok"), risk, C.clip(trust, 0.20, 1), edge_logit=edge, clip_logit=clip_logit, identity_flicker=flicker, model_disagreement=C.disagreement(edge, clip_logit))
 
 
 def speech_module(samples: Column, apertures: Column, sync: Column, lips: Column) -> Column:
     """The offset counts as signed: sound that comes late raises no risk."""
     status = F.when((samples < 8000) | (F.size(apertures) < 4), "skipped").otherwise("ok")
     risk = F.greatest(F.when(sync["conf"] >= P.SYNC_CONF_LEAST, sync["offset_ms"] / 250).otherwise(0.0), lips["err"] / 0.30)
-    return result("speech", status, risk, F.when(sync["conf"] >= P.SYNC_CONF_LEAST, 0.80).otherwise(0.40), sync_conf=sync["conf"], sync_offset_ms=sync["offset_ms"], bilabial_aperture_err=lips["err"])
+    return result("M5_speech_lips", status, risk, F.when(sync["conf"] >= P.SYNC_CONF_LEAST, 0.80).otherwise(0.40), sync_conf=sync["conf"], sync_offset_ms=sync["offset_ms"], bilabial_aperture_err=lips["err"])
 
 
 def admissible(modules: Column) -> Column:
@@ -207,12 +207,12 @@ def admissible(modules: Column) -> Column:
 
 
 def frozen_count(rows, key: str, order: str, static: str):
-    """Run counter of static windows of each key: up by one when static, else down by one, never below 0.
+    """Run counter of static windows of each key: up by one when static, else down by one, never below 0; null changes nothing.
 
     Closed form over prefix sums: s_t minus the least of 0 and the sums so far.
     """
     from pyspark.sql import Window
 
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("walk", F.sum(F.when(F.col(static), 1).otherwise(-1)).over(w))
+    rows = rows.withColumn("walk", F.sum(F.when(F.col(static), 1).when(~F.col(static), -1).otherwise(0)).over(w))
     return rows.withColumn("frozen", F.col("walk") - F.least(F.lit(0), F.min("walk").over(w))).drop("walk")

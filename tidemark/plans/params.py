@@ -67,6 +67,25 @@ TITLES = {
     ("lips", "", "high"): "Phoneme-Lip Incoherence",
     ("lips", "", "medium"): "Mouth Motion Desynchronization",
 }
+#: What is said of a module's finding, by title.
+DETAILS = {
+    "Virtual Camera Stream Detected": "Software capture device or synthetic frame timing signature identified.",
+    "Suspicious Video Source Timing": "Frame delivery jitter deviates from physical webcam hardware behavior.",
+    "Mobile Screen Replay Detected": "Specular glass reflections, motion decoupling, and display artifacts indicate a video replay on a mobile screen to the webcam.",
+    "Screen Glass Reflection Glare": "Planar specular reflection highlights and subpixel artifacts observed over facial region.",
+    "Failed Active Light Challenge": "Skin luminance did not modulate in sync with the randomized challenge sequence.",
+    "Weak Active Light Modulation": "Low photometric correlation between challenge sequence and face reflection.",
+    "Synthetic Audio Cloned Voice": "Acoustic features display non-natural vocoder synthesis patterns.",
+    "Acoustic Spectral Anomaly": "Voice harmonics indicate potential voice conversion or re-synthesis.",
+    "Deepfake Boundary Artifacts": "High-frequency frequency-domain blending seams and temporal embedding flicker detected.",
+    "Facial Instability Detected": "Micro-jitter and spatial blending boundaries observed across consecutive frames.",
+    "Facial Landmark Jitter Anomaly": "Unnatural high-frequency motion jitter detected across facial keypoints.",
+    "Occlusion Reconstruction Seams": "Facial boundary degradation observed during hand/object occlusion.",
+    "Rigid 2D Photo Motion Detected": "The face moves as a flat rigid plane with zero internal facial deformation. Consistent with a printed photo being moved.",
+    "Static 2D Photo Attack Detected": "Zero biological motion, eye blinking, or micro-expression detected across video frames. Facial features are static.",
+    "Phoneme-Lip Incoherence": "Failure to seal lips on bilabial consonants (B/P/M) with significant AV desync.",
+    "Mouth Motion Desynchronization": "Aperture anomalies during bilabial speech segments.",
+}
 ACTIONS = {
     "latch": "Ask the caller to turn their head left, then say the phrase again.",
     "camera": "Hard gate triggered: Virtual camera with light modulation failure. Escalate for manual review.",

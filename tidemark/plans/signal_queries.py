@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from tidemark.operators import pixels as X
 from tidemark.operators import signals as G
 from tidemark.plans.base_queries import events
 from tidemark.plans.registry import query
+from tidemark.sources.io import shared_folder
 from tidemark.streaming import streams as R
 
 COLOURS = ["#ffffff", "#ff4d4d", "#4d79ff", "#4dff88", "#ffb84d", "#b84dff"]
@@ -55,7 +56,7 @@ def av_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH q AS (SELECT user_id, avg(value) AS blur, 2 * avg(value) AS brightness, count(*) / 1000.0::DOUBLE AS face, avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0 END) AS drop_ FROM events GROUP BY 1)
 SELECT user_id, round((0.4 * greatest(least((blur - 25) / 95, 1), 0) + 0.3 * (1 - least(abs(brightness - 128) / 100, 1)) + 0.2 * least(face, 1) + 0.1 * (1 - drop_)) * CASE WHEN face < 0.08 THEN 0.4 ELSE 1 END, 6) AS trust,
-array_to_string(list_filter([CASE WHEN blur < 40 THEN 'BLURRY' END, CASE WHEN brightness < 35 THEN 'TOO_DARK' END, CASE WHEN brightness > 225 THEN 'TOO_BRIGHT' END, CASE WHEN face < 0.08 THEN 'FACE_TOO_SMALL' END], lambda f: f IS NOT NULL), ',') AS flags FROM q""")
+array_to_string(list_filter([CASE WHEN blur < 40 THEN 'MOTION_BLUR' END, CASE WHEN brightness < 35 THEN 'POOR_LIGHTING_DARK' END, CASE WHEN brightness > 225 THEN 'POOR_LIGHTING_OVEREXPOSED' END, CASE WHEN face < 0.08 THEN 'FACE_NOT_VISIBLE' END], lambda f: f IS NOT NULL), ',') AS flags FROM q""")
 def quality_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).groupBy("user_id").agg(F.avg("value").alias("blur"), (2 * F.avg("value")).alias("brightness"), (F.count("*") / 1000.0).alias("face"), F.avg((F.col("event_type") == "error").cast("double")).alias("drop"))
     q = e.select("user_id", G.quality(F.col("blur"), F.col("brightness"), F.col("face"), F.col("drop")).alias("q"))
@@ -86,14 +87,12 @@ def stream_hopping(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = R.read_events(spark, f"{at}/in", source.schema)
     # Files of a folder come in no order of time, so nothing counts as late here.
     out = R.hopping(stream, "ts", "event_type", "value", "3 hours", "1 hour", "400 days")
-    name = "hop" + at.rsplit("-", 1)[1].replace("/", "_")
-    out.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
+    # The last state of all windows replaces the one before; files, not the driver's memory, hold it.
+    write = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{at}/out")
+    out.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder for a stream's files and state, in the shared folder where there is one."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/tidemark-streams/run-{uuid.uuid4().hex}"
+    """A new folder for a stream's files and state."""
+    return f"{shared_folder(spark)}/tidemark-streams/run-{uuid.uuid4().hex}"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,15 +105,33 @@ def expired_cases(cases: DataFrame, now: Column, ttl_hours: float) -> DataFrame:
 
 
 def evict_cases(spark: SparkSession, path: str, now: float, ttl_hours: float) -> int:
-    """Rewrites the case table without expired documents beside the old one and swaps them; returns how many went."""
-    cases = read_cases(spark, path)
-    gone = expired_cases(cases, F.lit(now), ttl_hours).count()
-    if gone:
-        kept = cases.filter(F.col("created_at") >= F.lit(now) - F.lit(ttl_hours * 3600))
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        old, new = hadoop.Path(path), hadoop.Path(path.rstrip("/") + "-kept")
-        kept.write.mode("overwrite").partitionBy("session_id").json(new.toString())
-        store = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        store.delete(old, True)
-        store.rename(new, old)
-    return gone
+    """Deletes the folders of sessions whose document is expired, and no other file; returns how many went.
+
+    A failure between two deletions leaves some expired cases for the next run. The ids of the expired come to the
+    driver a row at a time, as only the driver deletes.
+    """
+    gone = expired_cases(read_cases(spark, path), F.lit(now), ttl_hours).withColumn("file", F.input_file_name()).select("file").distinct()
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for row in gone.toLocalIterator():
+        folder = hadoop.Path(row.file).getParent()
+        n += int(folder.getFileSystem(conf).delete(folder, True))
+    return n
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, as spark.checkpoint.dir names it; a temporary one in local mode alone, where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: it is computed once, and lineage ends there."""
+    path = f"{shared_folder(df.sparkSession)}/tidemark-staged/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
