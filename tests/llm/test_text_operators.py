@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import textwrap
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -364,6 +366,32 @@ def test_language_id_learns_and_rejects(spark):
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
 
 
+def test_language_id_on_held_out_rows(spark):
+    """Rows that nothing was learned from: accuracy of each language and of all."""
+    parts = {"aa": ["the", "ing", "and", "th"], "bb": ["ung", "sch", "der", "ich"], "cc": ["ção", "que", "os", "não"], "dd": ["the", "und", "que", "ed"]}
+    r = random.Random(16)
+    rows = [(i, " ".join("".join(r.choice(parts[k]) for _ in range(2)) for _ in range(r.randint(12, 60))), k) for i in range(600) for k in [list(parts)[i % 4]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    found = {x.doc_id: x for x in langid.predict(docs, langid.fit(docs.filter(~F.col("doc_id").isin(list(held))))).collect()}
+    by = {k: [found[i].lang_pred == k for i in held if rows[i][2] == k] for k in parts}
+    assert len(held) > 120 and all(len(v) > 20 and np.mean(v) >= 0.95 for v in by.values())
+
+
+@pytest.mark.parametrize("name", sorted(licence.LICENCES))
+def test_licences_in_other_forms(spark, name):
+    """Wraps of any width, comment marks, titles, notices and bullets leave a licence what it is; other sentences don't."""
+    text = licence.LICENCES[name]
+    lines = lambda width: [x for part in text.split("\n") for x in (textwrap.wrap(part, width) or [""])]
+    shapes = ["\n".join(lines(w)) for w in (34, 61, 78)] + ["/*\n" + "\n".join(" * " + x for x in lines(70)) + "\n */", "\n".join("# " + x for x in lines(72)), "\n".join("// " + x for x in lines(72))]
+    shapes += [f"{t}\n\nCopyright (c) 2019-2024, The Authors\nAll rights reserved.\n\n{text}" for t in licence.TITLES.get(name, [""])]
+    shapes += [text.upper(), text.replace("license", "licence")]
+    other = [text + " And you owe us a beer.", text[: len(text) // 2]]
+    docs = spark.createDataFrame(list(enumerate(shapes + other)), "doc_id long, text string")
+    got = [x.licence_id for x in licence.scan_licences(docs).orderBy("doc_id").collect()]
+    assert got == [name] * len(shapes) + [None] * len(other)
+
+
 def test_licences(spark):
     mit = licence.LICENCES["MIT"]
     rows = [(1, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace(",", " , ")), (2, mit.replace("sublicense", "sub-licence")), (3, mit + " And more."), (4, None), (5, ""), (6, "RELEASED under the MIT Licence!")]
@@ -415,3 +443,40 @@ def test_pipeline_stages_keep_columns(docs, spark):
             assert rows.columns == docs.columns
     out = rows.collect()
     assert out and all(r.n_tokens == len(r.ids) for r in out)
+
+
+def test_pipeline_stages_equal_brute_force(docs, spark):
+    """Each stage on its predecessor's rows: what stays, what is cut, how often, and which ids."""
+    import base64
+
+    import corpus_pipeline
+    import public_tokenizers as P
+    import tiktoken
+
+    stages = dict(corpus_pipeline.STAGES)
+    rows = docs.withColumns({c: F.lit("clash") for c in ("mix_words", "mix words x", "mix_times", "mix_at")})
+    before = {r.doc_id: r for r in rows.collect()}
+    kept = {r.doc_id: r for r in stages["near_dedup"](spark, rows, "").collect()}
+    sets, group = {i: shingles(r.text) for i, r in before.items()}, {i: i for i in before}
+    for _ in range(len(sets)):  # labels spread until none changes
+        new = {a: min(group[b] for b in sets if a == b or sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])) for a in sets}
+        if new == group:
+            break
+        group = new
+    assert set(kept) == {i for i in sets if group[i] == i} and all(kept[i] == before[i] for i in kept)
+
+    left = stages["near_dedup"](spark, rows, "").cache()
+    cut = {r.doc_id: r for r in stages["substring_dedup"](spark, left, "").collect()}
+    assert set(cut) == set(kept)
+    clean = [i for i in cut if i not in (17, 18, 19, 20) and i < 12]
+    assert all(cut[i].text == kept[i].text for i in clean)
+    assert sum(PASSAGE[60:-60] in (cut[i].text or "") for i in cut) == 1  # the passage that four documents share stays once
+    assert all(cut[i].n_chars == len(cut[i].text or "") and cut[i].mix_words == "clash" for i in cut if cut[i].text is not None)
+
+    mixed = stages["mixing"](spark, left, "").collect()
+    taken = {r.doc_id: r.taken // r.size if r.size else 0 for r in mixing.mix_sources(left).collect()}
+    assert Counter(r.doc_id for r in mixed) == Counter({i: n for i, n in taken.items() if n}) and all(r == kept[r.doc_id] for r in mixed)
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}, special_tokens={})
+    assert {r.doc_id: r.ids for r in stages["byte_bpe"](spark, left, "").collect()} == {i: own.encode_ordinary(r.text or "") for i, r in kept.items()}

@@ -5,8 +5,9 @@ are averaged, multiplied by the class matrix and put through a softmax whose tem
 sample kept aside. A prediction whose calibrated probability lies under the rejection threshold is rejected; the
 threshold is the highest that rejects at most REJECT of the kept-aside labelled texts, and at most 0.5.
 
-The classifier is fitted on a bounded sample: at most SAMPLE rows of each language, taken by a hash of the id, of
-texts up to SAMPLE_CHARS characters. Everything else reads every whole text.
+The classifier is fitted on a bounded sample, which the driver holds: about SAMPLE rows of each language and about
+LANGUAGE_CHARS characters of it, taken by a hash of the id, of texts up to SAMPLE_CHARS characters, and of the
+MAX_LANGUAGES most frequent languages. A language beyond these is never predicted. Everything else reads every whole text.
 
 Defined results: text that is null or has no letter is `und` with score 0 and rejected; where no labelled row can be
 learned from, every text is `und`; equal texts get equal predictions; repeated rows are each predicted; a null
@@ -26,6 +27,7 @@ from tidemark.llm.common import steps, table, utf8
 
 SAMPLE = 400
 SAMPLE_CHARS = 20_000
+LANGUAGE_CHARS = 2_000_000
 MAX_LANGUAGES = 256
 BUCKETS = 1 << 16
 DIM = 16
@@ -97,7 +99,8 @@ def train(texts: list[bytes], labels: list[str], seed: int = 11) -> dict:
 def sample(docs: DataFrame, eligible: Column) -> tuple[list[bytes], list[str]]:
     """At most SAMPLE texts for each language, the same at every run, brought to the driver (a bounded number of bytes)."""
     fit = docs.filter(eligible & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= SAMPLE_CHARS))
-    counts = dict(fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+    found = fit.groupBy("lang").agg(F.count("*").alias("count"), F.sum(F.length("text")).alias("chars")).orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = {r.lang: max(r["count"], SAMPLE * r.chars / LANGUAGE_CHARS) for r in found}
     if not counts:
         return [], []
     # A uniform hash of the id and text picks about SAMPLE rows of each language before texts are gathered.

@@ -164,12 +164,13 @@ def mix_sources(docs: DataFrame, seed: str = "mix") -> DataFrame:
 def repeat_documents(docs: DataFrame) -> DataFrame:
     """docs with each row as many times as the mix takes it; rows of one doc_id, source and size share their copies by a hash of the text."""
     taken = mix_sources(docs).groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies")).alias("copies"))
-    taken = taken.select([F.col(k).alias(f"mix_{k}") for k in ("doc_id", "source", "size", "copies")])
-    sized = docs.withColumn("mix_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    same = F.col("doc_id").eqNullSafe(F.col("mix_doc_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_words") == F.col("mix_size"))
-    times = F.element_at("mix_copies", (F.pmod(F.xxhash64("text"), F.size("mix_copies")) + 1).cast("int"))
-    out = sized.join(taken, same).withColumn("mix_times", times).filter("mix_times > 0")
-    return out.withColumn("mix_at", F.explode(F.sequence(F.lit(1), F.col("mix_times").cast("int")))).select(*docs.columns)
+    # Names that no table of ours has.
+    taken = taken.select([F.col(k).alias(f"mix {k}") for k in ("doc_id", "source", "size", "copies")])
+    sized = docs.withColumn("mix words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    same = F.col("doc_id").eqNullSafe(F.col("mix doc_id")) & F.col("source").eqNullSafe(F.col("mix source")) & (F.col("mix words") == F.col("mix size"))
+    times = F.element_at("mix copies", (F.pmod(F.xxhash64("text"), F.size("mix copies")) + 1).cast("int"))
+    out = sized.join(taken, same).withColumn("mix times", times).filter("`mix times` > 0")
+    return out.withColumn("mix at", F.explode(F.sequence(F.lit(1), F.col("mix times").cast("int")))).select(*docs.columns)
 
 
 def op5_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
