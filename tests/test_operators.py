@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators import evaluation, events, explain, fusion, joins, modules, session, signals, text
+from tidemark.operators import evaluation, events, explain, fusion, joins, modules, session, signals, tensors, text
 from tidemark.operators import windows as W
 from tidemark.plans import params as P
 from tidemark.sources import io
@@ -262,3 +262,26 @@ def test_small_forms(spark):
     assert [tuple(r) for r in events.models(spark.createDataFrame([(text,), ("{}",)], "d string"), "d").collect()] == [("edge", "e.onnx", "1", False), (None, None, None, True)]
     cases = spark.createDataFrame([("s", None, None, None, 0.5, None, None)], "session_id string, created_at long, consent_status string, stubs_in_use boolean, risk_score double, summary string, findings array<string>")
     assert tuple(events.case_view(cases).first()) == ("s", 0, "consented", True, 0.5, "", [])
+
+
+def test_feature_tensors(spark):
+    r = np.random.default_rng(3)
+    pcm = r.integers(-3000, 3000, 20_000)
+    got = tensors.acoustic(pcm)
+    part = pcm[-16_000:].astype(np.float32) / np.float32(np.abs(pcm[-16_000:]).max() + 1e-6)
+    size = np.log(np.abs(np.fft.rfft(part[640:960] * np.hanning(320))) + 1e-6)
+    assert got.shape == (50, 768) and np.allclose(got[2, :161], (size - size.mean()) / (size.std() + 1e-6), atol=1e-3) and np.array_equal(got[:, 161:322], got[:, :161])
+    assert np.isfinite(tensors.acoustic(np.zeros(0))).all()
+    crops = r.integers(0, 256, (10, 32, 32, 3)).astype(np.uint8)
+    seen = tensors.visual(crops)
+    assert seen.shape == (8, 512) and np.allclose(np.linalg.norm(seen, axis=1), 1, atol=1e-4)
+    assert np.allclose(tensors.shrunk(np.arange(32.0)[None] + np.zeros((32, 1))), np.arange(0.5, 32, 2)[None])
+    flat = np.full((8, 8, 3), 90, np.uint8)
+    flat[4, 4] = 250
+    hot = tensors.heat_map(flat)
+    assert hot.shape == (8, 8, 3) and hot[0, 0, 2] > hot[0, 0, 0] and hot[4, 4, 0] > hot[4, 4, 2]
+    row = spark.createDataFrame([(1, bytearray(crops.tobytes()), [int(x) for x in pcm[:400]]), (2, bytearray(crops[:3].tobytes()), None)], "i int, crops binary, pcm array<int>")
+    found = row.select("i", tensors.acoustic_tensor("pcm").alias("a"), tensors.visual_tensor(F.col("crops"), 32).alias("v"), tensors.evidence(F.col("crops"), 32, F.lit(0.5)).alias("e"), tensors.evidence(F.col("crops"), 32, F.lit(0.3)).alias("n")).orderBy("i").collect()
+    assert len(found[0].a) == 38_400 and len(found[0].v) == 4096 and found[1].v is None and found[0].n is None and found[1].n is None
+    assert bytes(found[0].e) == tensors.heat_map(crops[5]).tobytes()
+    assert tuple(one(spark, tensors.guarded_spoof(F.lit(1.5), F.array(*[F.lit(x) for x in (-100, 100)])))) == (0.5, 0.375) and one(spark, tensors.guarded_spoof(F.lit(1.5), F.array(F.lit(3), F.lit(3)))).spoof_max == 0

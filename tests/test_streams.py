@@ -48,3 +48,35 @@ def test_newest_wins(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 3), ("b", 2), ("a", 2)], "key string, n int")
     kept, dropped = streams.newest_wins(rows, "key", "n")
     assert sorted(map(tuple, kept.collect())) == [("a", 3), ("b", 2)] and dropped.first().dropped == 2
+
+
+def in_files(spark, folder, rows, order, files=3):
+    """rows as a stream that reads a file a trigger, in order."""
+    n = rows.count()
+    for k in range(files):
+        rows.filter((F.col(order) >= n * k // files) & (F.col(order) < n * (k + 1) // files)).coalesce(1).write.mode("append").parquet(folder("in"))
+    return streams.read_events(spark, folder("in"), rows.schema)
+
+
+def test_static_counter_equals_batch(spark, folder):
+    from tidemark.operators.signals import frozen_count
+
+    rows = spark.range(150).select((F.col("id") % 4).alias("key"), F.col("id").alias("n"), F.when(F.col("id") % 11 != 0, F.pmod(F.xxhash64("id"), F.lit(5)) < 3).alias("still"))
+    streams.drained(streams.static_counts(in_files(spark, folder, rows, "n"), "key", "n", "still"), folder("out"), folder("state"))
+    key = lambda df: sorted((r.key, r.n, r.frozen) for r in df.collect())
+    assert key(spark.read.parquet(folder("out"))) == key(frozen_count(rows, "key", "n", "still"))
+
+
+def test_sessions_are_summed_up_at_their_end(spark, folder):
+    rows = spark.range(90).select((F.col("id") % 3).alias("key"), F.col("id").alias("n"), (F.col("id") / 100.0).alias("risk"), ((F.col("id") == 60) | (F.col("id") == 88)).alias("ended"))
+    streams.drained(streams.finished(in_files(spark, folder, rows, "n"), "key", "n", "risk", "ended"), folder("out"), folder("state"))
+    got = {r.key: (r.windows, round(r.last_risk, 6), round(r.mean_risk, 6)) for r in spark.read.parquet(folder("out")).collect()}
+    # Key 0 ends with the trigger that has row 60, so with that trigger's rows; key 2 never ends.
+    assert got == {0: (30, 0.87, round(sum(range(0, 90, 3)) / 30 / 100, 6)), 1: (30, 0.88, round(sum(range(1, 90, 3)) / 30 / 100, 6))}
+
+
+def test_known_values_reach_a_stream(spark, folder):
+    rows = spark.range(30).select((F.col("id") % 3).alias("key"), F.col("id").alias("n"))
+    known = spark.createDataFrame([(0, "front camera"), (1, "back camera")], "key long, label string")
+    streams.drained(streams.with_known(in_files(spark, folder, rows, "n"), known, "key"), folder("out"), folder("state"))
+    assert {(r.key, r.label) for r in spark.read.parquet(folder("out")).collect()} == {(0, "front camera"), (1, "back camera"), (2, None)}

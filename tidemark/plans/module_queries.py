@@ -15,6 +15,8 @@ from tidemark.operators import fusion as U
 from tidemark.operators import modules as M
 from tidemark.operators import session as N
 from tidemark.operators import signals as G
+from tidemark.operators import evaluation as V
+from tidemark.operators import tensors as T
 from tidemark.operators import windows as W
 from tidemark.plans import params as P
 from tidemark.plans.base_queries import ORDER, events, windows_sql
@@ -271,3 +273,30 @@ def warm_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 def message_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.octet_length("html")
     return table(spark, sf_dir, "pages").filter((size <= P.MAX_MESSAGE) & (size > 0)).select("page_id")
+
+
+@query(f"""WITH {windows_sql(SIZE, STRIDE)}, p AS (SELECT user_id, window_id, avg(value) AS blur, avg(2 * value) AS bright, avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END) AS face FROM x GROUP BY 1, 2)
+SELECT user_id, CAST(window_id AS INTEGER) AS window_id, round(least(greatest(0.5 * least(greatest((blur - 20) / 100, 0), 1) + 0.3 * (1 - least(1, abs(bright - 128) / 100)) + 0.2 * face, 0), 1) + 1e-9, 6) AS trust FROM p""")
+def first_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = W.count_windows(events(spark, sf_dir), "user_id", ORDER, SIZE, STRIDE).groupBy("user_id", "window_id")
+    w = w.agg(F.avg("value").alias("blur"), F.avg(2 * F.col("value")).alias("bright"), F.avg((F.col("event_type") != "error").cast("double")).alias("face"))
+    return w.select("user_id", "window_id", F.round(T.first_trust(F.col("blur"), F.col("bright"), F.col("face")) + 1e-9, 6).alias("trust"))
+
+
+@query(f"""WITH {windows_sql(SIZE, STRIDE)}, p AS (SELECT user_id, window_id, stddev_pop(2 * value) AS deviation, avg(value) / 20 - 2 AS logit FROM x GROUP BY 1, 2),
+m AS (SELECT *, CASE WHEN deviation >= 50 AND logit > 0 THEN least(greatest(logit / 3, 0), 1) ELSE 0 END AS most FROM p)
+SELECT user_id, CAST(window_id AS INTEGER) AS window_id, round(most + 1e-9, 6) AS spoof_max, round(0.75 * most + 1e-9, 6) AS spoof_mean FROM m""")
+def silence_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = W.window_arrays(W.count_windows(events(spark, sf_dir), "user_id", ORDER, SIZE, STRIDE), "user_id", ["value"])
+    found = T.guarded_spoof(C.mean(F.col("value")) / 20 - 2, F.transform("value", lambda v: 2 * v))
+    return w.withColumn("s", found).select("user_id", "window_id", F.round(F.col("s.spoof_max") + 1e-9, 6).alias("spoof_max"), F.round(F.col("s.spoof_mean") + 1e-9, 6).alias("spoof_mean"))
+
+
+@query(f"""WITH {SCORE_SQL}, b AS (SELECT p, (user_id % 3 = 0)::INT AS y FROM s), r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS k FROM b)
+SELECT count(*) AS total_evaluated, round((sum(k) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) + 1e-9, 4) AS auc, true AS stubs_in_use, false AS certified FROM r""")
+def benchmark_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a benchmark run says: how many were scored, how well, and that stand-ins certify nothing."""
+    rows = scored(spark, sf_dir).select(F.col("probability").alias("p"), (F.col("user_id") % 3 == 0).cast("int").alias("y"))
+    total, stubs = rows.agg(F.count("*").alias("total_evaluated")), F.lit(True)
+    auc = V.rank_auc(rows, "p", "y").select(F.round(F.col("auc") + 1e-9, 4).alias("auc"))
+    return total.crossJoin(F.broadcast(auc)).select("total_evaluated", "auc", stubs.alias("stubs_in_use"), (~stubs).alias("certified"))  # one row each

@@ -84,3 +84,52 @@ def first_titles(stream: DataFrame, time: str, late: str) -> DataFrame:
 def drained(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     """Run a stream over all there is and stop."""
     stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def static_counts(stream: DataFrame, key: str, order: str, static: str) -> DataFrame:
+    """Each key's run counter of static windows as state: up by one when static, else down by one, never below 0; null changes nothing."""
+    kind = lambda c: stream.schema[c].dataType.simpleString()
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        (count,) = state.get if state.exists else (0,)
+        rows = pd.concat(list(batches)).sort_values(order)
+        found = []
+        for n, s in zip(rows[order], rows[static], strict=True):
+            count = count if pd.isna(s) else count + 1 if s else max(0, count - 1)
+            found.append((k[0], n, count))
+        state.update((count,))
+        yield pd.DataFrame(found, columns=[key, order, "frozen"])
+
+    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind(key)}, {order} {kind(order)}, frozen int", "frozen int", "append", "NoTimeout")
+
+
+def finished(stream: DataFrame, key: str, order: str, risk: str, ended: str, timeout_ms: int | None = None) -> DataFrame:
+    """One row a session at its end (a row that says `ended`, or no row for timeout_ms): its windows, last and mean risk."""
+    kind = lambda c: stream.schema[c].dataType.simpleString()
+    names = [key, "windows", "last_risk", "mean_risk"]
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        n, last, total, place = state.get if state.exists else (0, 0.0, 0.0, None)
+        done = state.hasTimedOut
+        if not done:
+            rows = pd.concat(list(batches)).sort_values(order)
+            known = rows[rows[risk].notna()]
+            n, total = n + len(known), total + float(known[risk].sum())
+            if len(known) and (place is None or known[order].iloc[-1] >= place):
+                last, place = float(known[risk].iloc[-1]), float(known[order].iloc[-1])
+            done = bool(rows[ended].fillna(False).astype(bool).any())
+        if done:
+            state.remove()
+            yield pd.DataFrame([(k[0], n, last, total / n if n else 0.0)], columns=names)
+            return
+        state.update((n, last, total, place))
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
+
+    out = f"{key} {kind(key)}, windows int, last_risk double, mean_risk double"
+    return stream.groupBy(key).applyInPandasWithState(run, out, "n int, last double, total double, place double", "append", "ProcessingTimeTimeout" if timeout_ms else "NoTimeout")
+
+
+def with_known(stream: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """The stream with the columns of a table of what is known of each key (one row a key), as it stands at each trigger; without it they are null."""
+    return stream.join(known, key, "left")
