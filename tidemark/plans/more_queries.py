@@ -95,22 +95,20 @@ def identity_flicker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("label", *[F.round(c, 6).alias(c) for c in ("least", "mean", "spread")], "jumps", "flickers", F.round("score", 6).alias("score"))
 
 
-@query("""WITH p AS (SELECT label AS series, vec_id AS frame, unnest(range(16)) AS point, embedding FROM embeddings), q AS (SELECT series, frame, point, embedding[2 * point + 1]::DOUBLE AS x, embedding[2 * point + 2]::DOUBLE AS y FROM p),
+@query("""WITH p AS (SELECT label AS series, vec_id AS frame, unnest(range(32)) AS point, embedding FROM embeddings), q AS (SELECT series, frame, point, embedding[2 * point + 1]::DOUBLE AS x, embedding[2 * point + 2]::DOUBLE AS y FROM p),
 m AS (SELECT series, lead(x) OVER w - 2 * x + lag(x) OVER w AS dx, lead(y) OVER w - 2 * y + lag(y) OVER w AS dy FROM q WINDOW w AS (PARTITION BY series, point ORDER BY frame))
 SELECT series, round(avg(sqrt(dx * dx + dy * dy)), 6) AS jitter, avg(sqrt(dx * dx + dy * dy)) > 0.08 AS jitters FROM m WHERE dx IS NOT NULL GROUP BY 1""")
 def landmark_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("series"), F.col("vec_id").alias("frame"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("point"), "embedding")
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("series"), F.col("vec_id").alias("frame"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("point"), "embedding")
     at = lambda k: F.get("embedding", 2 * F.col("point") + k).cast("double")
     out = V.jitter(e.select("series", "frame", "point", at(0).alias("x"), at(1).alias("y")), "series", "frame")
     return out.select("series", F.round("jitter", 6).alias("jitter"), "jitters")
 
 
-@query("""WITH v AS (SELECT vec_id, unnest(range(8)) AS i, embedding FROM embeddings), x AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS x FROM v)
+@query("""WITH v AS (SELECT vec_id, unnest(range(64)) AS i, embedding FROM embeddings), x AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS x FROM v)
 SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(covar_samp(a.x, b.x), 9) AS covariance FROM x a JOIN x b USING (vec_id) WHERE a.i >= b.i GROUP BY 1, 2""")
 def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = [F.get("embedding", F.lit(i)).cast("double") for i in range(8)]
-    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.round(F.covar_samp(x[i], x[j]), 9).alias("covariance")) for i in range(8) for j in range(i + 1)]
-    return table(spark, sf_dir, "embeddings").agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+    return covariance_whole(spark, sf_dir).select("i", "j", F.round("covariance", 9).alias("covariance"))
 
 
 @query()
@@ -120,7 +118,7 @@ def novelty_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def covariance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All parts of the vectors; `covariance` and its SQL have the first 8."""
+    """Unrounded; the width is found in the data."""
     cov = V.moments(table(spark, sf_dir, "embeddings"), "embedding")[1]
     return spark.createDataFrame([(i, j, float(cov[i, j])) for i in range(len(cov)) for j in range(i + 1)], "i int, j int, covariance double")
 
@@ -148,25 +146,26 @@ def virtual_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("source").distinct().select("source", found.alias("keyword"), F.when(found.isNotNull(), 0.85).otherwise(0.0).alias("risk"))
 
 
-HEARD = "c AS (SELECT conv_id, turn, [w for w in regexp_split_to_array(trim(text), '\\s+') if w <> ''][1:8] AS w FROM conversations), p AS (SELECT a.conv_id, a.turn, a.w AS a, b.w AS b FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+HEARD = "c AS (SELECT conv_id, turn, [w for w in regexp_split_to_array(trim(text), '\\s+') if w <> ''] AS w FROM conversations), p AS (SELECT row_number() OVER () AS k, a.conv_id, a.turn, a.w AS a, b.w AS b FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
 
 
 @query(f"""WITH RECURSIVE {HEARD},
-d(conv_id, turn, a, b, i, row_) AS (SELECT conv_id, turn, a, b, 0, CAST(range(len(b) + 1) AS BIGINT[]) FROM p
-  UNION ALL SELECT conv_id, turn, a, b, i + 1, list_reduce(list_prepend([CAST(i + 1 AS BIGINT)], [[least(row_[j] + CASE WHEN lower(a[i + 1]) = lower(b[j]) THEN 0 ELSE 1 END, row_[j + 1] + 1)] for j in range(1, len(b) + 1)]), lambda x, y: list_append(x, least(y[1], x[len(x)] + 1))) FROM d WHERE i < len(a))
-SELECT conv_id, turn, round(CASE WHEN len(a) = 0 THEN CASE WHEN len(b) = 0 THEN 0.0 ELSE 1.0 END ELSE row_[len(b) + 1] / len(a)::DOUBLE END, 6) AS wer FROM d WHERE i = len(a)""")
+r(k, i, j, v) AS (SELECT k, 0, CAST(unnest(range(len(b) + 1)) AS INTEGER), CAST(unnest(range(len(b) + 1)) AS INTEGER) FROM p
+  UNION ALL SELECT k, i + 1, j, CAST(j + min(t - j) OVER (PARTITION BY k ORDER BY j ROWS UNBOUNDED PRECEDING) AS INTEGER) FROM (
+    SELECT r.k, r.i, r.j, CASE WHEN r.j = 0 THEN r.i + 1 ELSE least(r.v + 1, lag(r.v) OVER (PARTITION BY r.k ORDER BY r.j) + CASE WHEN lower(p.a[r.i + 1]) = lower(p.b[r.j]) THEN 0 ELSE 1 END) END AS t
+    FROM r JOIN p ON p.k = r.k WHERE r.i < len(p.a)))
+SELECT conv_id, turn, round(CASE WHEN len(a) = 0 THEN CASE WHEN len(b) = 0 THEN 0.0 ELSE 1.0 END ELSE v / len(a)::DOUBLE END, 6) AS wer FROM p JOIN r ON r.k = p.k AND r.i = len(a) AND r.j = len(b)""")
 def word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(C.words(F.col("text")), 1, 8).alias("w"))
+    """Over whole turns."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", C.words(F.col("text")).alias("w"))
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("heard"))
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(C.word_error_rate(F.col("w"), F.col("heard")), 6).alias("wer"))
 
 
 @query()
 def word_error_rate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over whole turns; `word_error_rate` and its SQL have the first 8 words of each."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", C.words(F.col("text")).alias("w"))
-    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("heard"))
-    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(C.word_error_rate(F.col("w"), F.col("heard")), 6).alias("wer"))
+    """The same under its older name."""
+    return word_error_rate(spark, sf_dir)
 
 
 @query()
