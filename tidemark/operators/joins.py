@@ -10,17 +10,25 @@ from pyspark.sql import functions as F
 from tidemark.plans import params as P
 
 
-def interval_join(windows: DataFrame, points: DataFrame, key: str, margin_sec: float = 1.0) -> DataFrame:
+def interval_join(windows: DataFrame, points: DataFrame, key: str, margin_sec: float = 1.0, cell_sec: float | None = None) -> DataFrame:
     """Each window with the sorted ids of the key's points whose time is within the window and its margin, or is missing or 0.
 
-    windows: key, window_id, t_start, t_end (s); points: key, seq, t0 (ms). The key is an equality, so the range is a
-    condition on a hash or merge join; points are few for a key.
+    windows: key, window_id, t_start, t_end (s); points: key, seq, t0 (ms). Time is cut into cells (as long as the mean
+    window with its margins, if not told): a window meets the cells that it reaches and a point is in one, so a key's
+    points don't meet all its windows. Timeless points belong to all windows of a key and go a list a key.
     """
-    w, p = windows.alias("w"), points.select(key, "seq", "t0").alias("p")
-    at = F.coalesce(F.col("p.t0"), F.lit(0)) / F.lit(1000.0)
-    near = F.col("p.t0").isNull() | (F.col("p.t0") == 0) | at.between(F.col("w.t_start") - margin_sec, F.col("w.t_end") + margin_sec)
-    rows = w.join(p, (F.col(f"w.{key}") == F.col(f"p.{key}")) & near, "left")
-    return rows.groupBy(f"w.{key}", "w.window_id").agg(F.array_sort(F.collect_list("p.seq")).alias("found"))
+    if cell_sec is None:
+        cell_sec = max(1e-3, (windows.agg(F.avg(F.col("t_end") - F.col("t_start"))).first()[0] or 0.0) + 2 * margin_sec)
+    cell = lambda at: F.floor(at / F.lit(cell_sec))
+    low, high = F.col("t_start") - margin_sec, F.col("t_end") + margin_sec
+    timeless = F.col("t0").isNull() | (F.col("t0") == 0)
+    always = points.filter(timeless).groupBy(key).agg(F.collect_list("seq").alias("always"))
+    timed = points.filter(~timeless).select(key, "seq", (F.col("t0") / F.lit(1000.0)).alias("point at")).withColumn("cell", cell(F.col("point at")))
+    spread = windows.filter(low <= high).select(key, "window_id", low.alias("low"), high.alias("high"), F.explode(F.sequence(cell(low), cell(high))).alias("cell"))
+    near = spread.join(timed, [key, "cell"]).filter(F.col("point at").between(F.col("low"), F.col("high")))
+    near = near.groupBy(key, "window_id").agg(F.collect_list("seq").alias("near"))
+    rows = windows.select(key, "window_id").distinct().join(near, [key, "window_id"], "left").join(always, key, "left")
+    return rows.select(key, "window_id", F.array_sort(F.flatten(F.array_compact(F.array("near", "always")))).alias("found"))
 
 
 def band_join_nearest(left: DataFrame, right: DataFrame, key: str, band: float) -> DataFrame:
