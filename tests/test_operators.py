@@ -285,3 +285,12 @@ def test_feature_tensors(spark):
     assert len(found[0].a) == 38_400 and len(found[0].v) == 4096 and found[1].v is None and found[0].n is None and found[1].n is None
     assert bytes(found[0].e) == tensors.heat_map(crops[5]).tobytes()
     assert tuple(one(spark, tensors.guarded_spoof(F.lit(1.5), F.array(*[F.lit(x) for x in (-100, 100)])))) == (0.5, 0.375) and one(spark, tensors.guarded_spoof(F.lit(1.5), F.array(F.lit(3), F.lit(3)))).spoof_max == 0
+
+
+def test_quantiles_equal_numpy(spark):
+    r = np.random.default_rng(5)
+    values = np.round(r.normal(0, 3, 5001), 1)  # many ties
+    rows = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    for share in (0.0, 0.25, 0.5, 0.9501, 1.0):
+        assert evaluation.quantile(rows, "v", share).first().cut == pytest.approx(np.quantile(values, share), abs=1e-9)
+    assert evaluation.quantile(rows.limit(0), "v", 0.5).first().cut is None

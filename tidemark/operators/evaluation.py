@@ -70,9 +70,24 @@ def calibration_error(rows: DataFrame, probability: str, label: str, bins: int =
     return out.withColumn("error", F.abs(F.col("confidence") - F.col("rate")) * F.col("n") / F.sum("n").over(every))  # `bins` rows
 
 
+def quantile(rows: DataFrame, value: str, share: float) -> DataFrame:
+    """One row `cut`: the exact quantile of a column, straight between two values; null without values.
+
+    Counts by value are summed up over ranges, so no task holds all values.
+    """
+    known = rows.filter(F.col(value).isNotNull())
+    merged = known.groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    run = running_totals(merged, [F.asc("v")], {"upto": F.col("n")})
+    at = merged.agg(((F.sum("n") - 1) * F.lit(float(share))).alias("place"))
+    run = run.crossJoin(F.broadcast(at))  # one row
+    least = run.agg(F.min(F.when(F.col("upto") > F.floor("place"), F.col("v"))).alias("a"), F.min(F.when(F.col("upto") > F.ceil("place"), F.col("v"))).alias("b"), F.max("place").alias("place"))
+    part = F.col("place") - F.floor("place")
+    return least.select(F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((1 - part) * F.col("a") + part * F.col("b")).alias("cut"))
+
+
 def acceptance_at(rows: DataFrame, score: str, label: str, rejected: float) -> DataFrame:
     """Share of attacks (label 1) that pass where `rejected` of the genuine (label 0) are turned away."""
-    cut = rows.filter(F.col(label) == 0).agg(F.percentile(score, F.lit(1 - rejected)).alias("cut"))
+    cut = quantile(rows.filter(F.col(label) == 0), score, 1 - rejected)
     return rows.filter(F.col(label) == 1).crossJoin(F.broadcast(cut)).agg(F.first("cut").alias("cut"), F.avg((F.col(score) <= F.col("cut")).cast("double")).alias("accepted"))
 
 
