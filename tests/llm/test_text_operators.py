@@ -295,6 +295,61 @@ def test_repeated_passages_go_and_clean_texts_stay(docs):
         seen |= grams
 
 
+def plain_chunks(raw):
+    """Ends of chunks, byte by byte with a rolling hash."""
+    white, gear = set(b" \t\n\x0b\x0c\r"), [int(g) for g in chunking.GEAR]
+    h, last, out = 0, 0, []
+    for i, byte in enumerate(raw):
+        h = ((h << 1) + gear[byte]) & 0xFFFFFFFF
+        top, end = h >> 28, i + 1
+        whole = end == len(raw) or raw[end] & 0xC0 != 0x80
+        dense = end >= 32 and not white & set(raw[end - 32 : end]) and whole
+        strong = top == 0 and (byte in white or dense)
+        if end < len(raw) and not (strong and end - last >= 24 or byte in white and top < 8 and end - last >= 40):
+            continue
+        while end - last > 1024:
+            last += 1024
+            while raw[last] & 0xC0 == 0x80:
+                last -= 1
+            out.append(last)
+        if end > last:
+            out.append(end)
+            last = end
+    return out
+
+
+def test_substring_dedup_equals_brute_force(docs):
+    """Chunks of every text, the first place of each, and the runs of others of 80 bytes or more."""
+    texts = {r[0]: (r[1] or "").encode() for r in corpus()}
+    places = []
+    for i, raw in texts.items():
+        at = 0
+        for end in plain_chunks(raw):
+            places.append((i, zlib.crc32(raw), at, end, raw[at:end]))
+            at = end
+    first = {}
+    for i, crc, at, _, piece in sorted(places):
+        first.setdefault(piece, (i, crc, at))
+    want = {}
+    for i, raw in texts.items():
+        runs = []
+        for d, crc, at, end, piece in places:
+            if d == i and first[piece] != (d, crc, at):
+                if runs and runs[-1][1] == at:
+                    runs[-1][1] = end
+                else:
+                    runs.append([at, end])
+        gone = [r for r in runs if r[1] - r[0] >= 80]
+        kept, at = b"", 0
+        for a, b in gone:
+            kept, at = kept + raw[at:a], b
+        kept += raw[at:]
+        want[i] = (len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest())
+    rows = docs.select("doc_id", "text")
+    found = suffixes.remove_spans(rows, chunking.repeated_spans(rows), chunking.LEAST_RUN).select("doc_id", "cut.*").collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == want and sum(w[1] for w in want.values()) > 3000
+
+
 def test_deduplicate_keeps_columns(docs):
     assert chunking.deduplicate(docs).columns == docs.columns
 
