@@ -6,6 +6,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.llm import mtree, warc, webp
@@ -275,6 +277,52 @@ def test_webp_round_trip(text):
     assert len(payload) % 64 == 0 and len(payload) and webp.decode(webp.encode(payload)) == payload
 
 
+def test_webp_writer_uses_the_format(monkeypatch):
+    r = np.random.default_rng(4)
+    words = [bytes(r.integers(97, 123, n).tolist()) for n in r.integers(2, 9, 300)]
+    prose = b" ".join(words[k] for k in r.zipf(1.3, 20_000) % 300)
+    cases = {"stock": prose[:900] * 3, "own": prose + prose[:4000] * 2, "noise": r.bytes(9000), "zeros": b"", "one": b"abcd" * 5000}
+    made = []
+    codes = webp.Codes
+    monkeypatch.setattr(webp, "Codes", lambda *counts: made.append(counts) or codes(*counts))
+    webp.stock_codes()
+    own = {}
+    for name, text in cases.items():
+        payload, made[:] = webp.padded(text), []
+        media = webp.encode(payload)
+        own[name] = len(made)
+        assert webp.decode(media) == payload
+        assert name == "noise" or len(media) < max(0.7 * len(payload), 600)
+    assert own["own"] == 1 and own["stock"] == 0
+    px = np.frombuffer(webp.padded(cases["own"]), np.uint8).view(">u4").astype(np.uint32)
+    found = webp.copies(px)
+    assert found and all((px[a : a + n] == px[np.arange(a - d, a - d + n)]).all() and n >= webp.LEAST_COPY for a, n, d in found)
+    assert all(a + n <= b for (a, n, _), (b, _, _) in zip(found, found[1:], strict=False))
+    literals, copied, hits = (int(c.sum()) for c in np.split(_greens(webp, px), [256, 280]))
+    assert literals and hits and copied
+
+
+def _greens(webp, px):
+    """Counts of green symbols of the writer's stream, as the reader meets them."""
+    counts = np.zeros(280 + (1 << webp.CACHE_BITS), np.int64)
+    seen = []
+    cost = webp.stock_codes().cost
+    webp.stock_codes().cost = lambda *c: seen.append(c) or cost(*c)
+    try:
+        webp.encode_rows(px.astype(">u4").view(np.uint8))
+    finally:
+        del webp.stock_codes().cost
+    counts += seen[0][0]
+    return counts
+
+
+@given(st.binary(max_size=400), st.integers(1, 40))
+@settings(max_examples=60, deadline=None)
+def test_webp_round_trip_of_any_bytes(data, times):
+    payload = webp.padded(data * times)
+    assert webp.decode(webp.encode(payload)) == payload
+
+
 def test_stored_documents(spark):
     rows = [(1, None), (2, ""), (3, "é" * 40), (4, "x" * 100_000), (3, "é" * 40), (None, "null id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("media", F.lit("clash"))
