@@ -386,3 +386,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), shingled AS (
+  SELECT DISTINCT doc_id, md5(unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] END)) AS shingle
+  FROM worded
+), sized AS (
+  SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id
+), met AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingled a JOIN shingled b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), linked AS MATERIALIZED (
+  SELECT x, y FROM met JOIN sized p ON p.doc_id = x JOIN sized q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)
+), both_ways AS MATERIALIZED (
+  SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked
+), reached(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.y FROM reached r JOIN both_ways l ON r.b = l.x
+), named AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id::BIGINT AS component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN named USING (doc_id) LEFT JOIN sized USING (doc_id)
+"""
