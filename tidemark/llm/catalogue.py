@@ -15,4 +15,10 @@ QUERIES = {
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
-ORACLES = {"op1_licence_scan": licence.oracle(), "op3_topk_search": mtree.ORACLE, "op4_warc": warc.oracle(), "op7_near_duplicates": neardup.ORACLE}
+ORACLES = {
+    "op1_licence_scan": licence.oracle(),
+    "op2_suffix_dedup": suffixes.ORACLE,
+    "op3_topk_search": mtree.ORACLE,
+    "op4_warc": warc.oracle(),
+    "op7_near_duplicates": neardup.ORACLE,
+}

@@ -527,3 +527,30 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_spans(docs, repeated_spans(docs)).select("doc_id", "cut.*")
+
+
+ORACLE = r"""
+WITH hexed AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS w
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM hexed WHERE len(h) >= 400)
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY w) AS times FROM windows) WHERE times > 1
+), marked AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS opens FROM repeated
+), numbered AS (
+  SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked
+), spans AS (
+  SELECT doc_id, min(i) AS lo, max(i) + 200 AS hi FROM numbered GROUP BY doc_id, span
+), edges AS (
+  SELECT doc_id, lo, hi FROM spans UNION ALL SELECT doc_id, len(h) // 2, len(h) // 2 FROM hexed
+), gaps AS (
+  SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo, hi), 0) AS before FROM edges
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo, hi) AS rest, sum(hi - lo) AS gone, count(*) FILTER (hi > lo) AS runs
+  FROM gaps JOIN hexed USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, gone::BIGINT AS n_removed, runs::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256
+FROM kept JOIN hexed USING (doc_id)
+"""
