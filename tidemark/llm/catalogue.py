@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB equivalents."""
 
-from tidemark.llm import bpe, chunking, exact, langid, licence, mixing, mtree, neardup, suffixes, warc, webp, whitening
+from tidemark.llm import bpe, chunking, exact, langid, licence, mixing, mtree, neardup, suffixes, variants, warc, webp, whitening
 
 QUERIES = {
     "op1_licence_scan": licence.op1_licence_scan,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_substring_dedup": chunking.op8_substring_dedup,
     "op9_lossless_webp": webp.op9_lossless_webp,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "op11_spelling_variants": variants.op11_spelling_variants,
     "op12_stateful_exact_dedup": exact.op12_stateful_exact_dedup,
     "op13_lanczos_whitening": whitening.op13_lanczos_whitening,
 }
