@@ -13,7 +13,7 @@ word's rest into the place where the other word's rest lies, with one character
 Terminals that coincide give the pairs, each once. The trie is never built in one place: a node is the polynomial hash of its
 prefix, its children's word counts are a grouping, its light edges a join of the words' prefixes with the nodes that branch
 (salted near the root, where every word passes), and a merged terminal is a hash computed from prefix hashes at no cost a
-character. Coinciding hashes are only candidates: `levenshtein` on the words decides. Hashes that collide can therefore add
+character. Coinciding hashes are only candidates: the words without the node's character decide. Hashes that collide can therefore add
 candidates but lose none, since every node has one heavy child for all its words whatever else shares its hash.
 
 Null and empty texts have no words. A null doc_id counts as an empty string before the colon. Words may be as long as a text:
@@ -183,7 +183,7 @@ def light_edges(words: DataFrame) -> DataFrame:
 
 
 def errata(words: DataFrame) -> DataFrame:
-    """The merged terminals: kind, key (hash), own (the word it was made from), n."""
+    """The merged terminals: kind, key (hash), depth of the node, own (the word it was made from), n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_steps(batches):
@@ -196,9 +196,9 @@ def errata(words: DataFrame) -> DataFrame:
             goes_on = depth < hashes.sizes[word]
             for kind, which in (("R", goes_on), ("L", goes_on), ("S", found["skips"]), ("I", np.ones(len(word), bool))):
                 rows = pa.array(word[which])
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.string()), pa.array(found[kind][which]), batch.column(0).take(rows), batch.column(1).take(rows)], ["kind", "key", "own", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.string()), pa.array(found[kind][which]), pa.array(depth[which].astype(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows)], ["kind", "key", "depth", "own", "n"])
 
-    return words.join(light_edges(words), "id").select("word", "n", "edges").mapInArrow(run, "kind string, key long, own string, n long")
+    return words.join(light_edges(words), "id").select("word", "n", "edges").mapInArrow(run, "kind string, key long, depth int, own string, n long")
 
 
 def terminals(words: DataFrame) -> DataFrame:
@@ -214,12 +214,15 @@ def near_pairs(words: DataFrame) -> DataFrame:
     words = words.withColumn("id", F.monotonically_increasing_id())
     words = written(words, "variants-words")
     merged = written(errata(words), "variants-errata")
-    met = merged.filter("kind <> 'L'").join(terminals(words), "key").select("own", "n", "other", "other_n")
+    met = merged.filter("kind <> 'L'").join(terminals(words), "key")
     # Light rests of one node that coincide: as many at most as there are characters in the alphabet.
-    lights = merged.filter("kind = 'L'").select("key", "own", "n")
+    lights = merged.filter("kind = 'L'")
     among = lights.join(lights.select("key", F.col("own").alias("other"), F.col("n").alias("other_n")), "key").filter(F.col("own") < F.col("other"))
-    both = met.unionByName(among.select("own", "n", "other", "other_n"))
-    return both.filter(F.levenshtein("own", "other", 1) == 1)
+    without = lambda word: F.concat(F.substring(word, F.lit(1), F.col("depth")), F.substring(word, F.col("depth") + 2, F.length(word)))
+    own, other = F.col("own"), F.col("other")
+    skipped, added = (F.col("kind") == "S") & (without(own) == other), (F.col("kind") == "I") & (own == without(other))
+    replaced = F.col("kind").isin("R", "L") & (F.length(own) == F.length(other)) & (without(own) == without(other)) & (own != other)
+    return met.unionByName(among).filter(skipped | added | replaced).select("own", "n", "other", "other_n")
 
 
 def forms(words: DataFrame, times: int = TIMES) -> DataFrame:
