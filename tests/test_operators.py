@@ -36,6 +36,12 @@ def test_word_error_rate(spark):
     rows = spark.createDataFrame(cases, "e string, h string, want double")
     for r in rows.select("want", C.word_error_rate(C.words(F.col("e")), C.words(F.col("h"))).alias("got")).collect():
         assert r.got == pytest.approx(r.want)
+    # More distinct words than there are code points below the surrogates.
+    many = F.transform(F.sequence(F.lit(1), F.lit(57_000)), lambda i: F.concat(F.lit("w"), i.cast("string")))
+    other = F.transform(F.sequence(F.lit(3), F.lit(57_000)), lambda i: F.concat(F.lit("W"), F.when(i % 1000 == 0, -i).otherwise(i).cast("string")))
+    assert one(spark, C.edit_distance(many, other)) == 2 + 57
+    assert one(spark, C.edit_distance(many, F.array(F.lit("x")))) == 57_000
+    assert one(spark, C.edit_distance(many, F.lit(None).cast("array<string>"))) is None
     m = one(spark, text.phrase_match(F.lit("blue paper moon"), F.lit(None).cast("string"), F.lit(False)))
     assert m.wer == 0 and m.matched
 
@@ -182,6 +188,26 @@ def test_novelty_of_whole_vectors(spark, tmp_path):
         V.moments(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "embedding", 16)
 
 
+def test_edits_in_blocks():
+    import random
+
+    from tidemark.functions.edits import edits
+
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    r = random.Random(8)
+    for _ in range(400):
+        a, b = ([r.randrange(r.choice((2, 9))) for _ in range(r.randrange(40))] for _ in "ab")
+        assert {edits(a, b, bits) for bits in (1, 2, 7, 4096)} == {table(a, b)}
+
+
 def test_word_error_rate_of_whole_turns(spark, tmp_path):
     import random
 
@@ -203,7 +229,7 @@ def test_word_error_rate_of_whole_turns(spark, tmp_path):
         return row[-1]
 
     want = {t: round(edits(a, b) / len(a), 6) if a else float(bool(b)) for t, (a, b) in enumerate(zip(turns, turns[1:]))}
-    assert {x.turn: x.wer for x in queries()["word_error_rate_whole"](spark, str(tmp_path)).collect()} == want
+    assert {x.turn: x.wer for x in queries()["word_error_rate"](spark, str(tmp_path)).collect()} == want
 
 
 def test_running_totals_of_many_rows(spark):

@@ -1,10 +1,12 @@
-"""Scalar and array expressions that the operators share; all stay inside the JVM."""
+"""Scalar and array expressions that the operators share; all but the edit distance stay inside the JVM."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.edits import edit_distance
+
 
 def number(x: Column) -> Column:
     """NaN as null."""
@@ -111,27 +113,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: F.length(w) > 0)
 
 
-def edit_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two arrays of strings, case ignored: each distinct word of the pair becomes one character."""
-
-    def coded(pair: Column) -> Column:
-        every = F.array_distinct(F.concat(pair["a"], pair["b"]))
-        # Code points from U+4E00 on: no surrogates among them for fewer than 20 000 words.
-        character = lambda place: F.decode(F.unhex(F.format_string("%04X", place + 0x4E00 - 1)), "utf-16be")
-        text = lambda ws: F.array_join(F.transform(ws, lambda w: character(F.array_position(every, w))), "")
-        return F.levenshtein(text(pair["a"]), text(pair["b"]))
-
-    return let(F.struct(F.transform(a, F.lower).alias("a"), F.transform(b, F.lower).alias("b")), coded)
-
-
 def word_error_rate(expected: Column, heard: Column) -> Column:
     """Word edits over expected words; with none expected 0 or 1. It may exceed 1."""
-
-    def rate(pair: Column) -> Column:
-        n = F.size(pair["e"])
-        return F.when(n == 0, F.when(F.size(pair["h"]) == 0, 0.0).otherwise(1.0)).otherwise(edit_distance(pair["e"], pair["h"]) / n)
-
-    return let(F.struct(expected.alias("e"), heard.alias("h")), rate)
+    n = F.size(expected)
+    return F.when(n == 0, F.when(F.size(heard) == 0, 0.0).otherwise(1.0)).otherwise(edit_distance(expected, heard) / n)
 
 
 def label_of_path(path: Column) -> Column:
