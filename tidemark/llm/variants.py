@@ -38,9 +38,9 @@ from tidemark.llm.common import cut, steps, table, utf8, written
 DIVISOR = 199
 LEAST_LENGTH, LEAST_COUNT, TIMES = 6, 5, 5
 #: Bytes of distinct words that a task counts before it sends them on.
-COUNTED_BYTES = 32 << 20
+COUNTED_BYTES = 8 << 20
 #: Characters of words that one numpy step hashes, at least a word.
-STEP_CHARACTERS = 1 << 19
+STEP_CHARACTERS = 1 << 16
 RUN = re.compile("[a-zÀ-ÿ]{%d,}" % LEAST_LENGTH)
 #: Two primes under 2^31 and a base for each: a hash is a pair of sums of (code point x power), packed in a long.
 PRIMES, BASES = (2147483647, 2147483629), (1_000_003, 69_069_069)
