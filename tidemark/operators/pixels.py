@@ -1,7 +1,6 @@
 """Cues in pictures, by numpy in Arrow batches: a row is a window with its crops as one block of bytes.
 
-There is no picture library here, so edges are Sobel gradients and device frames are found by projecting them; scores
-of frames rank pictures but aren't those of a Hough transform.
+There is no picture library here; device frames are lines of a Hough transform (`lines`) around the window's face box.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
+from tidemark.operators.lines import bezel
 
 GLARE, DECOUPLED, PLANAR, BEZEL, REPLAY, PATTERN = 0.35, 0.35, 0.35, 0.40, 0.65, 0.40
 
@@ -113,16 +113,6 @@ def veiling(g: np.ndarray) -> float:
     return float(np.clip(0.6 * ramp(low, 35, 40) + 0.4 * np.clip((140 - (high - low)) / 70, 0, 1), 0, 1))
 
 
-def bezel(g: np.ndarray) -> float:
-    """Long straight edges: rows and columns whose strong gradients span a third of the picture."""
-    gx, gy = sobel(g)
-    upright = int(((np.abs(gx) > 180).mean(0) > 0.35).sum() > 0) + int(((np.abs(gx) > 180).mean(0) > 0.35).sum() > 3)
-    level = int(((np.abs(gy) > 180).mean(1) > 0.35).sum() > 0) + int(((np.abs(gy) > 180).mean(1) > 0.35).sum() > 3)
-    if upright and level:
-        return min(1.0, 0.40 + 0.15 * (upright + level))
-    return min(0.65, 0.30 + 0.10 * max(upright, level)) if upright or level else 0.0
-
-
 def decoupling(greys: list[np.ndarray]) -> float:
     """A moving face under a still bright patch, or patch and face that move apart."""
     centres = []
@@ -172,7 +162,7 @@ def liveness(greys: list[np.ndarray]) -> tuple[float, float, float, float]:
 CUES = ["moire", "chroma", "glare", "planar", "veiling", "bezel", "decoupling", "nonrigid", "eye", "rigid", "likeness", "blur", "brightness"]
 
 
-def cues_of(block: bytes, frames: int, height: int, width: int) -> list[float]:
+def cues_of(block: bytes, frames: int, height: int, width: int, box: tuple[int, int, int, int] | None = None) -> list[float]:
     rgb = np.frombuffer(block, np.uint8).reshape(frames, height, width, 3)[:16]
     greys = [grey(x) for x in rgb]
     spots = [glare(x) for x in rgb]
@@ -180,22 +170,33 @@ def cues_of(block: bytes, frames: int, height: int, width: int) -> list[float]:
     flat = max(planar(g) for g in greys) if lit else 0.0
     veil = float(np.mean([veiling(g) for g in greys])) if lit else 0.0
     apart = decoupling(greys) if lit and len(greys) >= 3 else 0.0
-    frame = max(bezel(g) for g in greys[:8])
+    frame = max(bezel(g, box) for g in greys[:8])
     return [float(np.mean([moire(g) for g in greys])), float(np.mean([chroma_lattice(x) for x in rgb])), max(spots), flat, veil, frame, apart, *liveness(greys), float(np.mean([laplacian(g).var() for g in greys])), float(np.mean(greys))]
 
 
+def box_of(box) -> tuple[int, int, int, int] | None:
+    """A box of whole pixels; None where any part of it is missing."""
+    parts = None if box is None else [box[k] for k in ("x", "y", "w", "h")]
+    return None if parts is None or any(pd.isna(v) for v in parts) else tuple(map(int, parts))
+
+
 def picture_cues(windows: DataFrame, keys: list[str]) -> DataFrame:
-    """windows(keys, rgb binary, frames, height, width) with a column for each cue; malformed blocks have null cues."""
+    """windows(keys, rgb binary, frames, height, width) with a column for each cue; malformed blocks have null cues.
+
+    A column `box` (struct of x, y, w, h) is the face's place, for the cue of a device's frame; without one that cue is 0.
+    """
     schema = ", ".join([f"{k} {windows.schema[k].dataType.simpleString()}" for k in keys] + [f"{c} double" for c in CUES])
+    box = F.col("box") if "box" in windows.columns else F.lit(None).cast("struct<x:int,y:int,w:int,h:int>")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [
-                cues_of(r, f, h, w) if r is not None and f and len(r) == f * h * w * 3 else [None] * len(CUES) for r, f, h, w in zip(b["rgb"], b["frames"], b["height"], b["width"], strict=True)
+                cues_of(r, int(f), int(h), int(w), box_of(x)) if r is not None and f and len(r) == f * h * w * 3 else [None] * len(CUES)
+                for r, f, h, w, x in zip(b["rgb"], b["frames"], b["height"], b["width"], b["box"].to_dict("records") if isinstance(b["box"], pd.DataFrame) else b["box"], strict=True)
             ]
             yield pd.concat([b[keys].reset_index(drop=True), pd.DataFrame(rows, columns=CUES, dtype="float64")], axis=1)
 
-    return windows.select(*keys, "rgb", "frames", "height", "width").mapInPandas(run, schema)
+    return windows.select(*keys, "rgb", "frames", "height", "width", box.alias("box")).mapInPandas(run, schema)
 
 
 def replay(f=F.col) -> Column:
@@ -207,6 +208,7 @@ def replay(f=F.col) -> Column:
     frame = F.when(lit | (moire_n >= 0.35) | (chroma_n >= 0.35), C.clip(f("bezel"), 0, 1)).otherwise(0.0)
 
     def composed(v: Column) -> Column:
+        """Score and flags; flags only name what another cue corroborates, but for patterns, the frame and the score itself."""
         pattern = F.greatest(v["moire"], v["chroma"]) >= PATTERN
         apart, flat, frame = v["apart"] >= DECOUPLED, v["flat"] >= PLANAR, v["frame"] >= BEZEL
         lit = v["spot"] >= GLARE
@@ -219,7 +221,15 @@ def replay(f=F.col) -> Column:
             .when(frame & apart, 0.50 * v["frame"] + 0.50 * v["apart"])
             .otherwise(0.0)
         )
-        return F.struct(C.clip(score, 0, 1).alias("replay_score"), F.when(lit & display, v["spot"]).otherwise(0.0).alias("screen_glare"), F.when(display, v["apart"]).otherwise(0.0).alias("reflection_decoupling"))
+        kept = lambda on, name: F.when(on, F.lit(name))
+        found = F.array(
+            kept(lit & display, "SPECULAR_SCREEN_GLARE"), kept(apart & display, "REFLECTION_MOTION_DECOUPLED"), kept(flat & display, "PLANAR_SCREEN_REFLECTION"), kept(v["moire"] >= PATTERN, "MOIRE_PATTERN_DETECTED"),
+            kept(v["chroma"] >= PATTERN, "SUBPIXEL_LATTICE_DETECTED"), kept(frame, "DEVICE_BEZEL_DETECTED"), kept(C.clip(score, 0, 1) >= REPLAY, "SCREEN_REPLAY_DETECTED"),
+        )
+        return F.struct(
+            C.clip(score, 0, 1).alias("replay_score"), F.when(lit & display, v["spot"]).otherwise(0.0).alias("screen_glare"), F.when(display, v["apart"]).otherwise(0.0).alias("reflection_decoupling"),
+            F.when(display, v["flat"]).otherwise(0.0).alias("planar"), v["frame"].alias("frame"), F.filter(found, lambda x: x.isNotNull()).alias("flags"),
+        )
 
     return C.let(F.struct(moire_n.alias("moire"), chroma_n.alias("chroma"), spot.alias("spot"), flat.alias("flat"), apart.alias("apart"), frame.alias("frame")), composed)
 
@@ -231,6 +241,20 @@ def static_face(f=F.col) -> Column:
     return F.struct(frozen.alias("frozen"), card.alias("card"), (frozen | card).alias("static"))
 
 
+def windows_of(rows: DataFrame, content: str, frames: int, side: int) -> DataFrame:
+    """rows with pictures cut from the UTF-8 bytes of a text column: windows of `frames` square frames, as many as hold them all.
+
+    The last window is filled up by repeating the text; a null or empty text has none. Adds window, rgb, frames, height, width.
+    """
+    size = frames * side * side * 3
+    text = F.coalesce(F.col(content), F.lit(""))
+    long = F.octet_length(text)
+    count = F.ceil(long / size).cast("int")
+    whole = F.encode(F.repeat(text, F.ceil(count * size / F.greatest(long, F.lit(1))).cast("int")), "utf-8")
+    rows = rows.filter(long > 0).withColumn("_whole", whole).withColumn("window", F.explode(F.sequence(F.lit(0), count - 1)))
+    return rows.withColumn("rgb", F.substring(F.col("_whole"), F.col("window") * size + 1, F.lit(size))).drop("_whole").withColumns({"frames": F.lit(frames), "height": F.lit(side), "width": F.lit(side)})
+
+
 def synthetic_windows(spark, n: int, frames: int = 6, side: int = 48) -> DataFrame:
     """Drawn windows by id: 0 natural noise, 1 a still picture, 2 a striped screen, 3 a bright hard square on a moving face."""
 

@@ -48,6 +48,8 @@ OFFSET_MOST_MS, SYNC_CONF_LEAST = 200.0, 1.5
 LIGHT_CORR_LEAST, NECK_CORR_LEAST, LATE_LAG_MS, LAG_FRAMES = 0.35, 0.30, 120.0, 5
 FPS, SAMPLE_RATE = 15, 16000
 WINDOW_FRAMES, STRIDE_FRAMES, SAMPLED_FRAMES, RETAINED_FRAMES = 45, 15, 16, 75
+#: Windows that wait for the consumer at most; the oldest goes when another comes.
+QUEUE_CAPACITY = 2
 MAX_MESSAGE, MAX_UPLOAD, MAX_SESSIONS, MAX_SESSION_SEC, SESSION_TTL_SEC = 2 << 20, 50 << 20, 4, 600, 300
 LATENCY_BUCKETS = {"fast": [0.05, 0.1, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0], "slow": [0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 5.0]}
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.operators import pixels as X
+from tidemark.operators import preprocess as PP
 from tidemark.operators import signals as G
 from tidemark.plans.base_queries import events
-from tidemark.plans.registry import query
+from tidemark.plans.registry import query, table
 from tidemark.sources.io import shared_folder
 from tidemark.streaming import streams as R
 
@@ -71,10 +72,23 @@ def static_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.frozen_count(e, "user_id", "event_id", "still").select("event_id", "frozen")
 
 
+def page_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of pictures from the bytes of pages, with a face box that moves with the page."""
+    box = F.struct((12 + F.col("page_id") % 5).cast("int").alias("x"), F.lit(12).alias("y"), F.lit(36).alias("w"), F.lit(36).alias("h"))
+    return X.windows_of(table(spark, sf_dir, "pages").select("page_id", "html"), "html", 4, 64).withColumn("box", box)
+
+
+@query()
+def preprocessed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = PP.preprocessed(page_pictures(spark, sf_dir), ["page_id", "window"])
+    parts = [F.round(F.col(f"{r}.{c}"), 9).alias(f"{r}_{c}") for r in ("face", "neck", "background") for c in ("cr", "cg", "mean_r", "mean_g", "mean_b")]
+    return frames.select("page_id", "window", "frame", F.round("blur", 6).alias("blur"), F.round("brightness", 6).alias("brightness"), *parts, F.sha2("crop", 256).alias("crop_digest"))
+
+
 @query()
 def picture_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cues = X.picture_cues(X.synthetic_windows(spark, 40), ["id"])
-    return cues.withColumn("r", X.replay()).withColumn("s", X.static_face()).select("id", *[F.round(c, 6).alias(c) for c in X.CUES], "r.*", "s.static")
+    cues = X.picture_cues(page_pictures(spark, sf_dir), ["page_id", "window"])
+    return cues.withColumn("r", X.replay()).withColumn("s", X.static_face()).select("page_id", "window", *[F.round(c, 6).alias(c) for c in X.CUES], "r.*", "s.static").withColumn("flags", F.array_join("flags", ","))
 
 
 @query("""SELECT h.s AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events,
