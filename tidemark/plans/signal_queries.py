@@ -1,58 +1,73 @@
-"""Signals and pictures over generated series, and streams over the driver's events."""
+"""Signals and pictures made of the driver's tables, and streams over its events."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.operators import pixels as X
 from tidemark.operators import preprocess as PP
 from tidemark.operators import signals as G
-from tidemark.plans.base_queries import events
+from tidemark.operators import windows as W
+from tidemark.plans.base_queries import events, windows_sql
+from tidemark.plans import params as P  # noqa: F401
 from tidemark.plans.registry import query, table
 from tidemark.sources.io import shared_folder
+from tidemark.streaming import live as L
 from tidemark.streaming import streams as R
 
 COLOURS = ["#ffffff", "#ff4d4d", "#4d79ff", "#4dff88", "#ffb84d", "#b84dff"]
 
 
-def light_cases(spark: SparkSession, n: int, frames: int = 16) -> DataFrame:
-    """Seeded cases: real faces follow the colours with noise of three strengths, fake ones are noise alone."""
-    rows = spark.range(n).withColumn("real", F.col("id") % 2 == 0).withColumn("snr", F.element_at(F.array(F.lit(1.5), F.lit(3.0), F.lit(5.0)), (F.col("id") % 3 + 1).cast("int")))
+LIGHT_FRAMES = 16
+
+
+def light_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a user's events as answers to coloured light: even users' faces follow the colours, with the events' values as noise; odd users' are noise alone."""
+    e = events(spark, sf_dir).withColumn("noise", (F.coalesce("value", F.lit(0.0)) % 10 - 5) / 5)
+    w = W.window_arrays(W.count_windows(e, "user_id", ["ts", "event_id"], LIGHT_FRAMES, LIGHT_FRAMES), "user_id", ["noise", "event_id"])
     sequence = F.array(*[F.struct(F.lit(c).alias("color"), F.lit(350).alias("ms")) for c in COLOURS])
-    rows = rows.withColumn("sequence", sequence)
-    target = {p: G.target_series(F.col("sequence"), F.lit(frames), p) for p in ("cr", "cg", "luma")}
-    # Sums of twelve hashed uniforms: a normal draw that every run repeats.
-    draw = lambda i, part: F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.lit(-6.0), lambda s, j: s + F.pmod(F.xxhash64(F.col("id"), i, F.lit(part), j), F.lit(1 << 20)) / float(1 << 20))
-    spread = F.when(F.col("real"), 0.04 / F.col("snr")).otherwise(0.04)
-    weight = F.when(F.col("real"), 0.2).otherwise(0.0)
+    rows = w.withColumn("sequence", sequence).withColumn("real", F.col("user_id") % 2 == 0)
+    weight, spread = F.when(F.col("real"), 0.2).otherwise(0.0), F.when(F.col("real"), 0.01).otherwise(0.04)
+    target = {p: G.target_series(F.col("sequence"), F.lit(LIGHT_FRAMES), p) for p in ("cr", "cg", "luma")}
+    # Each channel has the noise of another place, so that channels disagree.
+    noise = {p: C.roll(F.col("noise"), k) for p, k in (("cr", 0), ("cg", 5), ("luma", 9))}
 
-    def made(part: str, centre: float, scale: float) -> F.Column:
-        return F.transform(target[part], lambda t, i: F.lit(centre) + scale * (weight * (t - (0.333 if part != "luma" else 128.0) ) + (spread if part != "luma" else spread * 300) * draw(i, part)))
+    def made(part: str, centre: float, middle: float, scale: float) -> Column:
+        return F.zip_with(target[part], noise[part], lambda t, x: centre + weight * (t - middle) + spread * scale * x)
 
-    face = F.arrays_zip(made("cr", 0.38, 1.0).alias("cr"), made("cg", 0.33, 1.0).alias("cg"), made("luma", 120.0, 1.0).alias("y"))
+    face = F.arrays_zip(made("cr", 0.38, 0.333, 1.0).alias("cr"), made("cg", 0.33, 0.333, 1.0).alias("cg"), made("luma", 120.0, 128.0, 300.0).alias("y"))
     face = F.transform(face, lambda f: F.struct(f["cr"].alias("cr"), f["cg"].alias("cg"), *[f["y"].alias(f"mean_{c}") for c in "rgb"]))
-    return rows.select("id", "real", face.alias("face"), "sequence")
+    neck = F.transform(face, lambda f, i: F.struct((0.3 + 0.5 * (f["cr"] - 0.38) + 0.002 * (i % 3)).alias("cr"), *[f[c].alias(c) for c in ("cg", "mean_r", "mean_g", "mean_b")]))
+    return rows.select("user_id", "window_id", "real", face.alias("face"), F.when(F.col("user_id") % 3 > 0, neck).alias("neck"), "sequence")
 
 
 @query()
 def light_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = light_cases(spark, 500)
-    neck = F.lit(None).cast("array<struct<cr:double,cg:double,mean_r:double,mean_g:double,mean_b:double>>")
-    return rows.select("id", "real", G.light_response(F.col("face"), neck, F.col("sequence"), F.lit("agent")).alias("l")).select("id", "real", "l.*")
+    rows = light_cases(spark, sf_dir).withColumn("l", G.light_response(F.col("face"), F.col("neck"), F.col("sequence"), F.lit("agent"))).select("user_id", "window_id", "real", "l.*")
+    return rows.withColumns({c: F.round(c, 6) for c in ("score", "corr_face", "lag_ms", "neck_face_corr", "neck_face_ratio", "snr")}).withColumn("flags", F.array_join("flags", ","))
+
+
+SOUND_RATE, SOUND_FPS = 60, 15
+
+
+def sounding_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as sound of four samples a frame, with a mouth that opens as loud as the sound, -4 to 4 frames late by vec_id."""
+    v = F.transform(F.coalesce("embedding", F.array().cast("array<float>")), lambda x: F.coalesce(x, F.lit(0.0)).cast("double"))
+    pcm = F.transform(v, lambda x: F.floor(x * 8000).cast("int"))
+    frames = F.floor(F.size(v) / (SOUND_RATE // SOUND_FPS)).cast("int")
+    loud = F.transform(F.sequence(F.lit(0), frames - 1), lambda i: F.sqrt(C.mean(F.transform(F.slice(v, i * 4 + 1, F.lit(4)), lambda x: x * x))))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 9 - 4).cast("int").alias("lag"), pcm.alias("pcm"), F.when(frames > 0, loud).alias("loud"))
+    return rows.select("vec_id", "lag", "pcm", C.roll(F.col("loud"), F.col("lag")).alias("mouth"))
 
 
 @query()
 def av_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bursts of sound and of an opening mouth, the mouth late by -4 to 4 frames."""
-    rows = spark.range(90).withColumn("lag", (F.col("id") % 9 - 4).cast("int"))
-    burst = lambda i: (F.pmod(F.xxhash64(F.col("id"), i), F.lit(100)) < 45).cast("double")
-    pcm = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(1066)), lambda j: ((burst(i) * 7000 + 100) * F.when(j % 2 == 0, 1).otherwise(-1)).cast("smallint"))))
-    mouth = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: burst(i + F.col("lag")) * 0.3 + 0.05)
-    return rows.select("id", "lag", G.av_sync(pcm, mouth).alias("s")).select("id", "lag", "s.*")
+    rows = sounding_vectors(spark, sf_dir).withColumn("s", G.av_sync(F.col("pcm"), F.col("mouth"), SOUND_RATE, SOUND_FPS))
+    return rows.select("vec_id", "lag", F.round("s.conf", 6).alias("conf"), F.round("s.offset_ms", 6).alias("offset_ms"), "s.in_sync")
 
 
 @query("""WITH q AS (SELECT user_id, avg(value) AS blur, 2 * avg(value) AS brightness, count(*) / 1000.0::DOUBLE AS face, avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0 END) AS drop_ FROM events GROUP BY 1)
@@ -94,17 +109,44 @@ def picture_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT h.s AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events,
 LATERAL (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 2 HOUR, time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR, time_bucket(INTERVAL 1 HOUR, ts)]) AS s) h GROUP BY 1, 2""")
 def stream_hopping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hopping windows of the batch query, from a stream that is read to its end."""
-    at = f"{_scratch(spark)}/hop"
-    source = spark.read.parquet(f"{sf_dir}/events.parquet")
-    source.repartitionByRange(4, "ts").write.mode("overwrite").parquet(f"{at}/in")
-    stream = R.read_events(spark, f"{at}/in", source.schema)
-    # Files of a folder come in no order of time, so nothing counts as late here.
-    out = R.hopping(stream, "ts", "event_type", "value", "3 hours", "1 hour", "400 days")
-    # The last state of all windows replaces the one before; files, not the driver's memory, hold it.
-    write = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{at}/out")
-    out.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
+    """The hopping windows of the batch query from a stream over the table's files: each trigger writes the windows that it changed, the last writing counts."""
+    own, at = L.stateful_session(spark), _scratch(spark)
+    out = R.hopping(L.table_stream(own, f"{sf_dir}/events.parquet"), "ts", "event_type", "value", "3 hours", "1 hour", "400 days")
+    # A trigger that is run again writes its own folder again.
+    write = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{at}/out/batch={batch}")
+    out.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{at}/out").groupBy("start", "event_type").agg(F.max_by(F.struct("n", "mean_value"), "batch").alias("last"))
+    return last.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "last.n", F.round("last.mean_value", 6).alias("mean_value"))
+
+
+@query(f"WITH {windows_sql(45, 15)} SELECT user_id, window_id, min(event_id) AS first_event, max(event_id) AS last_event, count(*) AS n, round(avg(value), 6) AS mean_value FROM x GROUP BY 1, 2")
+def live_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows as a stream of the events makes them, each as soon as it is complete."""
+    own, at = L.stateful_session(spark), _scratch(spark)
+    windows = L.live_windows(L.table_stream(own, f"{sf_dir}/events.parquet"), "user_id", ["ts", "event_id"], ["value"])
+    R.drained(windows, f"{at}/out", f"{at}/state")
+    rows = spark.read.schema(windows.schema).parquet(f"{at}/out")
+    mean = C.mean(F.filter("value", lambda x: x.isNotNull()))
+    return rows.select("user_id", "window_id", F.array_min("event_id").alias("first_event"), F.array_max("event_id").alias("last_event"), F.size("event_id").cast("long").alias("n"), F.round(mean, 6).alias("mean_value"))
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events)
+SELECT user_id, count(*) AS n, min(event_id) AS least_event, round(sum(value), 6) AS total FROM r WHERE back <= {L.RETAINED} GROUP BY 1""")
+def live_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each user's ring holds when the stream has taken all events."""
+    own, at = L.stateful_session(spark), _scratch(spark)
+    R.drained(L.live_windows(L.table_stream(own, f"{sf_dir}/events.parquet"), "user_id", ["ts", "event_id"], ["value"]), f"{at}/out", f"{at}/state")
+    return L.ring_rows(own, f"{at}/state").groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("least_event"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query()
+def overload_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as windows for a consumer that needs their value in minutes: which it takes and which are dropped."""
+    own, at = L.stateful_session(spark), _scratch(spark)
+    rows = L.table_stream(own, f"{sf_dir}/events.parquet").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.coalesce("value", F.lit(0.0)) * 60 * 60).alias("cost"))
+    fates = L.bounded_queue(rows, "user_id", "at", "cost", "event_id")
+    R.drained(fates, f"{at}/out", f"{at}/state")
+    return spark.read.schema(fates.schema).parquet(f"{at}/out")
 
 
 def _scratch(spark: SparkSession) -> str:
