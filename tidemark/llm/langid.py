@@ -6,8 +6,8 @@ sample kept aside. A prediction whose calibrated probability lies under the reje
 threshold is the highest that rejects at most REJECT of the kept-aside labelled texts, and at most 0.5.
 
 The classifier is fitted on a bounded sample, which the driver holds: about SAMPLE rows of each language and about
-LANGUAGE_CHARS characters of it, taken by a hash of the id, of texts up to SAMPLE_CHARS characters, and of the
-MAX_LANGUAGES most frequent languages. A language beyond these is never predicted. Everything else reads every whole text.
+LANGUAGE_CHARS characters of it (ALL_CHARS of all), taken by a hash of the id, of texts up to SAMPLE_CHARS characters, and of
+the MAX_LANGUAGES most frequent languages; at most twice as many rows as that is about, those of the least hashes. A language beyond these is never predicted. Everything else reads every whole text.
 
 Defined results: text that is null or has no letter is `und` with score 0 and rejected; where no labelled row can be
 learned from, every text is `und`; equal texts get equal predictions; repeated rows are each predicted; a null
@@ -29,6 +29,8 @@ SAMPLE = 400
 SAMPLE_CHARS = 20_000
 LANGUAGE_CHARS = 2_000_000
 MAX_LANGUAGES = 256
+#: Characters of all languages together that the driver holds, about.
+ALL_CHARS = 64_000_000
 BUCKETS = 1 << 16
 DIM = 16
 EPOCHS = 6
@@ -100,14 +102,16 @@ def sample(docs: DataFrame, eligible: Column) -> tuple[list[bytes], list[str]]:
     """At most SAMPLE texts for each language, the same at every run, brought to the driver (a bounded number of bytes)."""
     fit = docs.filter(eligible & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= SAMPLE_CHARS))
     found = fit.groupBy("lang").agg(F.count("*").alias("count"), F.sum(F.length("text")).alias("chars")).orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    counts = {r.lang: max(r["count"], SAMPLE * r.chars / LANGUAGE_CHARS) for r in found}
+    most = min(LANGUAGE_CHARS, ALL_CHARS / max(len(found), 1))
+    counts = {r.lang: max(r["count"], SAMPLE * r.chars / most) for r in found}
     if not counts:
         return [], []
     # A uniform hash of the id and text picks about SAMPLE rows of each language before texts are gathered.
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, SAMPLE / n))])
     draw = (F.xxhash64(F.lit(7), "doc_id", F.crc32(F.encode("text", "utf-8"))).bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
     rows = fit.withColumn("draw", draw).filter(F.try_element_at(share, F.col("lang")) > F.col("draw")).select("draw", "lang", "text")
-    rows = sorted(rows.limit(2 * SAMPLE * len(counts)).collect(), key=lambda r: (r.lang, r.draw, r.text))
+    # Rows of one draw (equal id and text) are alike, so it makes no difference which of them the bound leaves out.
+    rows = sorted(rows.orderBy("draw", "lang", "text").limit(2 * SAMPLE * len(counts)).collect(), key=lambda r: (r.lang, r.draw, r.text))
     return [r.text.encode() for r in rows], [r.lang for r in rows]
 
 
