@@ -22,14 +22,18 @@ STORE = "spark.sql.streaming.stateStore"
 RETAINED = 75
 
 
-def stateful_session(spark: SparkSession) -> SparkSession:
-    """A session of its own whose streams keep state in RocksDB; state partitions are as many as spark has shuffle partitions."""
+def stateful_session(spark: SparkSession, empty_triggers: bool = False) -> SparkSession:
+    """A session of its own whose streams keep state in RocksDB; state partitions are as many as spark has shuffle partitions.
+
+    empty_triggers: timers fire without new rows too. A stream with timers then has no end, so it isn't for runs over all there is.
+    """
     own = spark.newSession()
     for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         own.conf.set(name, spark.conf.get(name))
     own.conf.set(f"{STORE}.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     own.conf.set(f"{STORE}.rocksdb.changelogCheckpointing.enabled", "true")
     own.conf.set(f"{STORE}.rocksdb.allowFAllocate", "false")
+    own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(empty_triggers).lower())
     return own
 
 
@@ -47,10 +51,14 @@ class IdleKeys(StatefulProcessor):
 
     idle_ms: int | None = None
 
-    def touched(self, times) -> None:
+    def untimed(self) -> None:
         if self.idle_ms:
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
+
+    def touched(self, times) -> None:
+        self.untimed()
+        if self.idle_ms:
             self.handle.registerTimer(times.getCurrentProcessingTimeInMs() + self.idle_ms)
 
 
