@@ -52,7 +52,7 @@ def documents(spark, folder):
 def test_one_document_a_session(spark, own, folder, monkeypatch, killed):
     for rows in FILES:
         put(spark, folder, rows)
-    real = cases.committed
+    real = io.committed
 
     def dies(session, path, name, batch, write):
         if killed == "after":
@@ -62,11 +62,11 @@ def test_one_document_a_session(spark, own, folder, monkeypatch, killed):
         raise RuntimeError("killed")
 
     if killed:
-        monkeypatch.setattr(cases, "committed", dies)
+        monkeypatch.setattr(io, "committed", dies)
         for _ in range(2):
             with pytest.raises(Exception, match="killed"):
                 run(own, spark, folder)
-        monkeypatch.setattr(cases, "committed", real)
+        monkeypatch.setattr(io, "committed", real)
     run(own, spark, folder)
     run(own, spark, folder)
     assert {(r.session_id, r["count"]) for r in documents(spark, folder)} == {("a", 1), ("b", 1)}

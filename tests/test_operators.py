@@ -320,3 +320,40 @@ def test_quantiles_equal_numpy(spark):
     for share in (0.0, 0.25, 0.5, 0.9501, 1.0):
         assert evaluation.quantile(rows, "v", share).first().cut == pytest.approx(np.quantile(values, share), abs=1e-9)
     assert evaluation.quantile(rows.limit(0), "v", 0.5).first().cut is None
+
+
+def test_group_quantiles(spark):
+    import numpy as np
+
+    from tidemark.operators import evaluation
+
+    r = np.random.default_rng(3)
+    groups = {"hot": r.integers(0, 50, 4000).tolist(), "one": [7.0], "two": [1.0, 2.0], None: [5.0, 6.0, 9.0]}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("hot", None), ("none", None)]
+    got = {x.g: (x.low, x.mid, x.top) for x in evaluation.group_quantiles(spark.createDataFrame(rows, "g string, v double").repartition(7), "g", "v", {"low": 0.05, "mid": 0.5, "top": 1.0}).collect()}
+    assert got == {g: pytest.approx(tuple(np.quantile(vs, [0.05, 0.5, 1.0]))) for g, vs in groups.items()}
+
+
+def test_stored_moments(spark, tmp_path):
+    import numpy as np
+
+    from tidemark.operators import moments as M
+    from tidemark.operators import vectors as V
+
+    r = np.random.default_rng(6)
+    x = r.standard_normal((300, 12)) @ r.standard_normal((12, 12)) + 1e6
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, None), (401, [1.0, None] * 6), (402, [1.0, 2.0]), (403, [])]
+    frame = spark.createDataFrame(rows, "id long, v array<double>").repartition(9)
+    path = f"file://{tmp_path}/moments"
+    halves = [frame.filter("id % 3 = 0"), frame.filter("id % 3 > 0")]
+    assert M.update(spark, path, halves[0], "v", 1) and M.update(spark, path, halves[1], "v", 2)
+    assert not M.update(spark, path, halves[1], "v", 2)  # there already
+    n, mean, products = M.state(M.stored(spark, path, 2))
+    whole = M.state(M.states_of(frame, "v"))
+    assert n == whole[0] == 300 and np.abs(mean - whole[1]).max() < 1e-9 and np.abs(products - whole[2]).max() < 1e-9 * np.abs(whole[2]).max()
+    np.testing.assert_allclose(M.covariance((n, mean, products)), np.cov(x.T), rtol=1e-7, atol=1e-6)
+    assert M.state(M.stored(spark, path, 2), 2)[0] == 1
+    fitted = {d.id: d.distance for d in V.novelty(frame, "id", "v", fitted=(n, mean, products)).collect()}
+    fresh = {d.id: d.distance for d in V.novelty(frame, "id", "v").collect()}
+    assert fitted[401] is None and all(fitted[i] == pytest.approx(fresh[i], rel=1e-6) for i in range(300))
+    assert M.state(M.states_of(frame.filter("id < 0"), "v")) is None

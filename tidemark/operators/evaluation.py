@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +87,64 @@ def quantile(rows: DataFrame, value: str, share: float) -> DataFrame:
     return least.select(F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((1 - part) * F.col("a") + part * F.col("b")).alias("cut"))
 
 
+def group_quantiles(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles of each group by name, straight between two values; groups without values don't come.
+
+    Counts by group and value are summed up over ranges of both, so a group with most of the rows is many tasks' work.
+    """
+    merged = rows.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    run = running_totals(merged, [F.asc(group), F.asc("v")], {"upto": F.col("n")})
+    # A group's own counts begin where the group before it ends.
+    of = run.groupBy(F.col(group).alias("_group")).agg(F.min(F.col("upto") - F.col("n")).alias("base"), F.max("upto").alias("end"))
+    run = run.join(of, F.col(group).eqNullSafe(F.col("_group"))).withColumn("upto", F.col("upto") - F.col("base"))
+    place = {k: (F.col("end") - F.col("base") - 1) * F.lit(float(p)) for k, p in shares.items()}
+    found = [F.min(F.when(F.col("upto") > edge(place[k]), F.col("v"))).alias(f"{name}_{k}") for k in shares for name, edge in (("a", F.floor), ("b", F.ceil))]
+    least = run.groupBy(group).agg(*found, *[F.max(place[k] - F.floor(place[k])).alias(f"part_{k}") for k in shares])
+    a, b, part = (lambda k, x=x: F.col(f"{x}_{k}") for x in ("a", "b", "part"))
+    return least.select(group, *[F.when(a(k) == b(k), a(k)).otherwise((1 - part(k)) * a(k) + part(k) * b(k)).alias(k) for k in shares])
+
+
+#: Draws of a replicate from one digest: sixteen parts of 16 bits.
+DRAWS = 16
+
+
+def poisson_bounds(most: int = 8) -> list[int]:
+    """16-bit draws from which a Poisson(1) weight is at least 1, 2, ...; a weight of `most` or more has no 16-bit draw."""
+    shares, total, out = math.exp(-1.0), 0.0, []
+    for k in range(1, most):
+        total += shares
+        shares /= k
+        out.append(math.floor(total * 65536))
+    return out
+
+
+def poisson_weights(key: Column, replicates: int) -> list[Column]:
+    """A row's Poisson(1) weight in each replicate, from the SHA-256 of its key and the number of sixteen replicates: every run draws the same."""
+    digests = [F.sha2(F.concat(key.cast("string"), F.lit(f":{block}")), 256) for block in range(-(-replicates // DRAWS))]
+    draw = lambda r: F.conv(F.substring(digests[r // DRAWS], r % DRAWS * 4 + 1, 4), 16, 10).cast("int")
+    return [sum((F.when(draw(r) >= bound, 1).otherwise(0) for bound in poisson_bounds()), F.lit(0)).cast("long") for r in range(replicates)]
+
+
+def bootstrap_auc(rows: DataFrame, key: str, score: str, label: str, replicates: int = 32) -> DataFrame:
+    """replicate and auc of Poisson-bootstrap resamples, all from one pass over ranges of scores.
+
+    Weights are summed by score and label before they are shuffled; a replicate without a positive or negative has a null auc.
+    """
+    weights = poisson_weights(F.col(key), replicates)
+    rows = rows.select(score, F.col(label).cast("long").alias("_label"), *[w.alias(f"w{r}") for r, w in enumerate(weights)])
+    sides = [F.sum(F.when(F.col("_label") == side, F.col(f"w{r}")).otherwise(0)).alias(f"{name}{r}") for r in range(replicates) for side, name in ((1, "p"), (0, "n"))]
+    run = running_totals(rows.groupBy(score).agg(*sides), [F.asc(score)], {f"below{r}": F.col(f"n{r}") for r in range(replicates)})
+    wins = lambda r: F.sum(F.col(f"p{r}") * (F.col(f"below{r}") - F.col(f"n{r}") / 2))
+    out = run.agg(*[F.struct(F.lit(r).alias("replicate"), F.try_divide(wins(r), F.sum(f"p{r}") * F.sum(f"n{r}")).alias("auc")).alias(f"r{r}") for r in range(replicates)])
+    return out.select(F.explode(F.array(*[f"r{r}" for r in range(replicates)])).alias("x")).select("x.*")
+
+
+def interval(replicates: DataFrame, value: str, level: float = 0.95) -> DataFrame:
+    """low, middle and high of a statistic's replicates: one row from as many as there are replicates."""
+    at = lambda p: F.percentile(value, F.lit(p))
+    return replicates.agg(at((1 - level) / 2).alias("low"), at(0.5).alias("middle"), at((1 + level) / 2).alias("high"))
+
+
 def acceptance_at(rows: DataFrame, score: str, label: str, rejected: float) -> DataFrame:
     """Share of attacks (label 1) that pass where `rejected` of the genuine (label 0) are turned away."""
     cut = quantile(rows.filter(F.col(label) == 0), score, 1 - rejected)

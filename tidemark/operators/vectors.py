@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.functions import columns as C
+from tidemark.operators import moments as M
 from tidemark.operators.joins import consecutive
 
 FLICKER_LEAST, FLICKER_SPREAD, JUMP = 0.60, 0.15, 0.65
@@ -55,43 +56,20 @@ def whole_vectors(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]
     return at[good], values[good]
 
 
-def _summed(rows: DataFrame, vector: str, width: int, centre: np.ndarray) -> tuple[float, np.ndarray]:
-    """Count of whole vectors and the sum of v v' over v = (vector - centre, 1): each task's sums are added on the cluster."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width + 1, width + 1))
-        for batch in batches:
-            x = whole_vectors(batch.column(0), width)[1] - centre
-            x = np.column_stack([x, np.ones(len(x))])
-            total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["cell", "x"])
-
-    cells = rows.select(vector).mapInArrow(run, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros((width + 1) ** 2)
-    for c in cells:
-        out[c["cell"]] = c["x"]
-    out = out.reshape(width + 1, width + 1)
-    return out[-1, -1], out
-
-
 def moments(rows: DataFrame, vector: str, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Mean vector and sample covariance of a column of vectors, of `width` parts or as many as the longest has.
+    """Mean vector and sample covariance of a column of vectors, of `width` parts or as many as the longest has, in one pass.
 
-    Vectors of another width or with nulls take no part; without two that do there is an error. Sums alone come to the driver.
+    Vectors of another width or with nulls take no part; without two that do there is an error. One state comes to the driver.
     """
-    width = width or rows.agg(F.max(F.size(vector))).first()[0] or 0
-    n, sums = _summed(rows, vector, width, np.zeros(width)) if width > 0 else (0, None)
-    if n < 2:
-        raise ValueError(f"{int(n)} rows of {vector} have {width} parts: no covariance")
-    mean = sums[-1, :-1] / n
-    _, sums = _summed(rows, vector, width, mean)
-    off = sums[-1, :-1] / n
-    return mean + off, (sums[:-1, :-1] - n * np.outer(off, off)) / (n - 1)
-
-
-def novelty(rows: DataFrame, key: str, vector: str, width: int | None = None, ridge: float = 1e-4) -> DataFrame:
-    """Mahalanobis distance of each vector from the mean of all; null for vectors that take no part in `moments`."""
-    mean, cov = moments(rows, vector, width)
+    found = M.state(M.states_of(rows, vector), width)
+    if found is None or found[0] < 2:
+        raise ValueError(f"{found[0] if found else 0} rows of {vector} have {width} parts: no covariance")
+    return found[1], M.covariance(found)
+
+
+def novelty(rows: DataFrame, key: str, vector: str, width: int | None = None, ridge: float = 1e-4, fitted: M.Moments | None = None) -> DataFrame:
+    """Mahalanobis distance of each vector from the mean of all, or of a stored state; null for vectors that take no part in it."""
+    mean, cov = moments(rows, vector, width) if fitted is None else (fitted[1], M.covariance(fitted))
     precision = np.linalg.pinv(cov + ridge * np.eye(len(mean)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
+from tidemark.operators import evaluation as E
 from tidemark.operators import joins as J
 from tidemark.operators import statistics as S
 from tidemark.operators import windows as W
@@ -130,10 +131,11 @@ def safe_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 6) AS p5, round(quantile_cont(l_extendedprice, 0.92), 6) AS p92, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95,
 round(median(l_quantity), 6) AS middle, round(var_pop(l_discount), 9) AS spread FROM lineitem GROUP BY 1""")
 def exact_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda p: F.round(F.percentile("l_extendedprice", F.lit(p)), 6)
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
-        at(0.05).alias("p5"), at(0.92).alias("p92"), at(0.95).alias("p95"), F.round(F.median("l_quantity"), 6).alias("middle"), F.round(F.var_pop("l_discount"), 9).alias("spread")
-    )
+    rows = table(spark, sf_dir, "lineitem")
+    price = E.group_quantiles(rows, "l_returnflag", "l_extendedprice", {"p5": 0.05, "p92": 0.92, "p95": 0.95})
+    spread = rows.groupBy("l_returnflag").agg(F.round(F.var_pop("l_discount"), 9).alias("spread"))
+    out = price.join(E.group_quantiles(rows, "l_returnflag", "l_quantity", {"middle": 0.5}), "l_returnflag").join(spread, "l_returnflag")
+    return out.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("p5", "p92", "p95", "middle")], "spread")
 
 
 BOUNDS = [5.0, 25.0, 50.0, 100.0, 200.0]

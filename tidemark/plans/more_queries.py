@@ -76,8 +76,28 @@ def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda p: F.round(F.percentile("value", F.lit(p)), 6)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+    rows = table(spark, sf_dir, "events")
+    out = rows.groupBy("event_type").agg(F.avg("value").alias("mean")).join(E.group_quantiles(rows, "event_type", "value", {"p50": 0.5, "p95": 0.95}), "event_type")
+    return out.select("event_type", *[F.round(c, 6).alias(c) for c in ("mean", "p50", "p95")])
+
+
+REPLICATES = 32
+BOOTSTRAP = f"""{LABELLED}, h AS (SELECT d.score, d.label, r, CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR) || ':' || CAST(r // {E.DRAWS} AS VARCHAR)), CAST(r % {E.DRAWS} * 4 + 1 AS INTEGER), 4) AS INTEGER) AS u FROM d, range({REPLICATES}) AS q(r)),
+w AS (SELECT score, label, r, {" + ".join(f"(u >= {b})::INTEGER" for b in E.poisson_bounds())} AS w FROM h),
+g AS (SELECT r, score, sum(w * label) AS p, sum(w * (1 - label)) AS n FROM w GROUP BY 1, 2),
+k AS (SELECT r, p, n, sum(n) OVER (PARTITION BY r ORDER BY score) AS below FROM g),
+a AS (SELECT CAST(r AS INTEGER) AS replicate, sum(p * (below - n / 2.0::DOUBLE)) / (sum(p) * sum(n)) AS auc FROM k GROUP BY 1)"""
+
+
+@query(f"WITH {BOOTSTRAP} SELECT replicate, round(auc, 9) AS auc FROM a")
+def bootstrap_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.bootstrap_auc(labelled(spark, sf_dir), "doc_id", "score", "label", REPLICATES).select("replicate", F.round("auc", 9).alias("auc"))
+
+
+@query(f"WITH {BOOTSTRAP} SELECT round(quantile_cont(auc, 0.025), 9) AS low, round(quantile_cont(auc, 0.5), 9) AS middle, round(quantile_cont(auc, 0.975), 9) AS high FROM a")
+def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = E.interval(E.bootstrap_auc(labelled(spark, sf_dir), "doc_id", "score", "label", REPLICATES), "auc")
+    return found.select(*[F.round(c, 9).alias(c) for c in ("low", "middle", "high")])
 
 
 PAIRS = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT label, vec_id, list_cosine_similarity(e, lag(e) OVER (PARTITION BY label ORDER BY vec_id)) AS s FROM v QUALIFY lag(vec_id) OVER (PARTITION BY label ORDER BY vec_id) IS NOT NULL)"

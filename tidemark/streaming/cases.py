@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessorHandle
 
 from tidemark.operators.explain import summary
-from tidemark.sources.io import CASE, read_cases
+from tidemark.sources import io
 from tidemark.streaming.live import IdleKeys, in_order
 
 FINDING = ["id", "severity", "title", "detail"]
@@ -83,35 +83,19 @@ def case_documents(stream: DataFrame, idle_ms: int | None = None, stubs: bool =
     return cases.withColumn("risk_score", F.bround("risk_score", 4)).withColumn("window_count", F.size("windows")).withColumn("evidence", F.array().cast("array<string>"))
 
 
-def committed(spark: SparkSession, path: str, name: str, batch: int, write) -> bool:
-    """Have write(folder) make a batch's files and rename them to their place; False if they are there already."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    staged, place = hadoop.Path(f"{path}/_staged/{name}-{batch}"), hadoop.Path(f"{path}/batch={name}-{batch}")
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.exists(place):
-        return False
-    write(staged.toString())
-    if not any(f.isDirectory() for f in files.listStatus(staged)):
-        files.delete(staged, True)  # no session ended
-        return False
-    if not files.rename(staged, place) and not files.exists(place):
-        raise OSError(f"{staged} can't be renamed to {place}")
-    return True
-
-
 def store_cases(cases: DataFrame, path: str, checkpoint: str, name: str) -> None:
     """Run a stream of case documents into a folder over all there is. name: the query's, the same at every run."""
 
     def take(rows: DataFrame, batch: int) -> None:
         # One action alone: another would run the batch's state a second time.
-        committed(rows.sparkSession, path, name, batch, lambda folder: rows.write.mode("overwrite").partitionBy("session_id").json(folder))
+        io.committed(rows.sparkSession, path, name, batch, lambda folder: rows.write.mode("overwrite").partitionBy("session_id").json(folder))
 
     cases.writeStream.foreachBatch(take).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def stored_cases(spark: SparkSession, path: str, session_id: str | None = None) -> DataFrame:
     """The newest document of each session (or of one: its folders alone are read)."""
-    rows = read_cases(spark, path, session_id)
-    names = [f.name for f in spark.createDataFrame([], CASE).schema if f.name != "session_id"]
+    rows = io.read_cases(spark, path, session_id)
+    names = [f.name for f in spark.createDataFrame([], io.CASE).schema if f.name != "session_id"]
     newest = rows.groupBy("session_id").agg(F.max_by(F.struct(*names), F.struct("created_at", "batch")).alias("case"))
     return newest.select("session_id", "case.*")
