@@ -109,3 +109,37 @@ def test_queue_equals_a_simulation(spark, own, folder, cuts):
     for k in range(3):
         want |= simulated([x[1:] for x in rows if x[0] == k], 2)
     assert got == want and sum(f[0] == "dropped" for f in want.values()) > 20 and len(want) == 237
+
+
+def test_metrics_need_no_second_pass(spark, own, folder):
+    from tidemark.streaming import metrics
+
+    rows = frames(spark, 500).withColumn("ms", (F.col("frame") % 7).cast("double"))
+    exprs = metrics.measures({"odd": F.col("frame") % 2 == 1}, {"newest": F.col("frame")}, {"ms": (F.col("ms"), [0.5, 3.0])})
+    want = {"odd": 250, "ms_bucket__0.5": 72, "ms_bucket__3.0": 287, "ms_bucket__+Inf": 500, "ms_sum": rows.agg(F.sum("ms")).first()[0]}
+
+    batch = metrics.Meter()
+    seen, taken = batch.observed(rows, "batch", exprs)
+    seen.write.format("noop").mode("overwrite").save()
+    batch.take(taken)
+    assert {f"{n}__{b}" if b else n: v for k, n, b, v in batch.rows() if k == "counter"} == want and batch.gauges["newest"] == 499
+    assert 'ms_bucket{le="3.0"} 287\n' in batch.exposed()
+
+    for low in range(0, 500, 125):
+        put(rows, low, low + 125, folder("in"))
+    meter = metrics.Meter()
+    own.streams.addListener(meter)
+    stream = streams.read_events(own, folder("in"), rows.schema).observe("rows", *exprs)
+    out = stream.withColumn("at", F.timestamp_seconds(F.col("ts"))).withWatermark("at", "1 hour").groupBy("key").count()
+    out.writeStream.format("noop").outputMode("update").option("checkpointLocation", folder("state")).trigger(availableNow=True).start().awaitTermination()
+    assert meter.ended()
+    own.streams.removeListener(meter)
+    assert {f"{n}__{b}" if b else n: v for k, n, b, v in meter.rows() if k == "counter"} == want | {"stream_rows": 500}
+    assert meter.gauges["newest"] == 499 and meter.gauges["stream_state_rows"] > 0 and meter.gauges["active_streams"] == 0 and meter.gauges["stream_lag_seconds"] > 1e9
+
+    class Told:  # a trigger that is told again counts once
+        class progress:
+            id, batchId, numInputRows, observedMetrics, eventTime, durationMs, stateOperators = next(iter(meter.seen)), 0, 125, {}, {}, {}, []
+
+    meter.onQueryProgress(Told)
+    assert meter.counters["stream_rows"] == 500
