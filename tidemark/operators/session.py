@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,18 +58,26 @@ def phrase(seed: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.array(*drawn)), lambda x: x["word"]), " ")
 
 
+def hmac_pads(secret: str, block: int = 64) -> tuple[bytes, bytes]:
+    """The secret's inner and outer pads, that a keyed digest puts before what it digests."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > block else key).ljust(block, b"\0")
+    return bytes(x ^ 0x36 for x in key), bytes(x ^ 0x5C for x in key)
+
+
+def hmac_sha256(secret: str, message: Column) -> Column:
+    """Hexadecimal HMAC-SHA256 of a string column: two digests over pads and bytes; null for null."""
+    inner, outer = (F.lit(bytearray(p)) for p in hmac_pads(secret))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "utf-8")), 256))), 256)
+
+
 def light_sequences(rows: DataFrame, nonce: str, secret: str, steps: int = 7, step_ms: int = 350) -> DataFrame:
     """rows with `sequence`, an array of (color, ms): white, then colours by the bytes of HMAC-SHA256(secret, nonce), none twice in a row."""
     if not 6 <= steps <= 8 or step_ms < LEAST_STEP_MS:
         raise ValueError("6 to 8 steps of at least 333 ms")
 
-    @F.pandas_udf("binary")
-    def code(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for v in values:
-            yield v.map(lambda x: None if x is None else hmac.new(secret.encode(), x.encode(), hashlib.sha256).digest())
-
     # Bytes as numbers; the fold sees the colour before.
-    digits = F.hex("code")
+    digits = hmac_sha256(secret, F.col(nonce))
     places = F.transform(F.sequence(F.lit(1), F.lit(steps - 1)), lambda i: F.conv(F.substring(digits, 2 * (i % 32) + 1, F.lit(2)), 16, 10).cast("int"))
     palette = F.array(*[F.lit(c) for c in COLOURS])
 
@@ -81,7 +87,7 @@ def light_sequences(rows: DataFrame, nonce: str, secret: str, steps: int = 7, st
 
     colours = F.aggregate(places, F.array(F.lit(WHITE)), step)
     sequence = F.transform(colours, lambda c: F.struct(c.alias("color"), F.lit(step_ms).alias("ms")))
-    return rows.withColumn("code", code(F.col(nonce))).withColumn("sequence", F.when(F.col("code").isNotNull(), sequence)).drop("code")
+    return rows.withColumn("sequence", F.when(F.col(nonce).isNotNull(), sequence))
 
 
 def challenge_of(challenges: Column, kind: str) -> Column:

@@ -169,11 +169,15 @@ def virtual_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
 HEARD = "c AS (SELECT conv_id, turn, [w for w in regexp_split_to_array(trim(text), '\\s+') if w <> ''] AS w FROM conversations), p AS (SELECT row_number() OVER () AS k, a.conv_id, a.turn, a.w AS a, b.w AS b FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
 
 
-@query(f"""WITH RECURSIVE {HEARD},
+#: Edit distances row by row, for the pairs of turns that HEARD numbers.
+EDITS = f"""WITH RECURSIVE {HEARD},
 r(k, i, j, v) AS (SELECT k, 0, CAST(unnest(range(len(b) + 1)) AS INTEGER), CAST(unnest(range(len(b) + 1)) AS INTEGER) FROM p
   UNION ALL SELECT k, i + 1, j, CAST(j + min(t - j) OVER (PARTITION BY k ORDER BY j ROWS UNBOUNDED PRECEDING) AS INTEGER) FROM (
     SELECT r.k, r.i, r.j, CASE WHEN r.j = 0 THEN r.i + 1 ELSE least(r.v + 1, lag(r.v) OVER (PARTITION BY r.k ORDER BY r.j) + CASE WHEN lower(p.a[r.i + 1]) = lower(p.b[r.j]) THEN 0 ELSE 1 END) END AS t
-    FROM r JOIN p ON p.k = r.k WHERE r.i < len(p.a)))
+    FROM r JOIN p ON p.k = r.k WHERE r.i < len(p.a)))"""
+
+
+@query(f"""{EDITS}
 SELECT conv_id, turn, round(CASE WHEN len(a) = 0 THEN CASE WHEN len(b) = 0 THEN 0.0 ELSE 1.0 END ELSE v / len(a)::DOUBLE END, 6) AS wer FROM p JOIN r ON r.k = p.k AND r.i = len(a) AND r.j = len(b)""")
 def word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over whole turns."""
@@ -188,11 +192,13 @@ def word_error_rate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_error_rate(spark, sf_dir)
 
 
-@query()
+@query(f"""{EDITS}, m AS (SELECT conv_id, turn, CASE WHEN len(a) = 0 THEN 0.0 ELSE v / len(a)::DOUBLE END AS wer FROM p JOIN r ON r.k = p.k AND r.i = len(a) AND r.j = len(b))
+SELECT conv_id, turn, round(wer, 6) AS wer, wer <= {P.PHRASE_WER_HIGH} AS matched, wer > {P.PHRASE_WER_HIGH} AS flagged FROM m""")
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("heard"))
-    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", T.phrase_match(F.col("text"), F.col("heard"), F.lit(True)).alias("m")).select("conv_id", "turn", "m.*")
+    found = c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", T.phrase_match(F.col("text"), F.col("heard"), F.lit(True)).alias("m"))
+    return found.select("conv_id", "turn", F.round("m.wer", 6).alias("wer"), "m.matched", "m.flagged")
 
 
 @query("""WITH h AS (SELECT p_partkey, '#' || printf('%02x%02x%02x', p_partkey * 37 % 256, p_partkey * 91 % 256, p_size * 5 % 256) AS colour, p_partkey * 37 % 256 AS r, p_partkey * 91 % 256 AS g, p_size * 5 % 256 AS b FROM part)
@@ -254,9 +260,22 @@ def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query()
+SECRET, LIGHT_STEPS = "test secret", 7
+PADS = [p.hex() for p in N.hmac_pads(SECRET)]
+BYTE = "CAST('0x' || substr(h, {at}, 2) AS INTEGER)"
+PALETTE = "[" + ", ".join(f"'{c}'" for c in N.COLOURS) + "]"
+LIGHT_STEP = f"CASE WHEN {PALETTE}[{{b}} % {len(N.COLOURS)} + 1] = c{{before}} THEN {PALETTE}[({{b}} + 1) % {len(N.COLOURS)} + 1] ELSE {PALETTE}[{{b}} % {len(N.COLOURS)} + 1] END"
+#: A table a step: the colour of its byte, or the one after it where that was the last.
+LIGHT_SQL = ", ".join([
+    f"WITH s0 AS (SELECT c_custkey, sha256(unhex('{PADS[1]}') || unhex(sha256(unhex('{PADS[0]}') || encode(c_name)))) AS h, '{N.WHITE}' AS c0 FROM customer)",
+    *[f"s{i} AS (SELECT *, {LIGHT_STEP.format(b=BYTE.format(at=2 * i + 1), before=i - 1)} AS c{i} FROM s{i - 1})" for i in range(1, LIGHT_STEPS)],
+]) + f" SELECT c_custkey, concat_ws(',', {', '.join(f'c{i}' for i in range(LIGHT_STEPS))}) AS sequence FROM s{LIGHT_STEPS - 1}"
+
+
+@query(LIGHT_SQL)
 def light_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.light_sequences(table(spark, sf_dir, "customer").select(F.col("c_custkey"), F.col("c_name").alias("nonce")), "nonce", "test secret").select("c_custkey", "sequence")
+    rows = N.light_sequences(table(spark, sf_dir, "customer").select(F.col("c_custkey"), F.col("c_name").alias("nonce")), "nonce", SECRET, LIGHT_STEPS)
+    return rows.select("c_custkey", F.array_join(F.transform("sequence", lambda s: s["color"]), ",").alias("sequence"))
 
 
 @query()

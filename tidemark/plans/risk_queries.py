@@ -116,7 +116,8 @@ def risk_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {VERDICT_SQL} SELECT user_id, CAST(window_id AS INTEGER) AS window_id, round(ema + 1e-9, 6) AS smoothed, latched AS in_state FROM v")
 def smoothed_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.verdicts_folded(scored(spark, sf_dir), "user_id", "window_id").select("user_id", "window_id", near("smoothed"), "in_state")
+    rows = scored(spark, sf_dir).withColumn("gates", F.array().cast("array<string>"))
+    return U.verdicts(rows, "user_id", "window_id").select("user_id", "window_id", near("smoothed"), "in_state")
 
 
 def _case(*pairs: tuple[str, str]) -> str:
