@@ -8,14 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
+from tidemark.operators import jpeg as J
 from tidemark.operators import pixels as X
 from tidemark.operators import preprocess as PP
 from tidemark.operators import signals as G
+from tidemark.operators import tensors as TE
 from tidemark.operators import windows as W
 from tidemark.plans.base_queries import events, windows_sql
 from tidemark.plans import params as P  # noqa: F401
 from tidemark.plans.registry import query, table
-from tidemark.sources.io import shared_folder
+from tidemark.sources.io import shared_folder, staged
 from tidemark.streaming import live as L
 from tidemark.streaming import streams as R
 
@@ -100,6 +102,16 @@ def preprocessed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.select("page_id", "window", "frame", F.round("blur", 6).alias("blur"), F.round("brightness", 6).alias("brightness"), *parts, F.sha2("crop", 256).alias("crop_digest"))
 
 
+@query()
+def evidence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heat maps of pages' middle pictures as JPEG files in the shared folder, with the files' digests."""
+    rows = page_pictures(spark, sf_dir).withColumn("heat", TE.evidence(F.col("rgb"), 64, F.lit(1.0)))
+    files = J.jpeg(rows.select("page_id", "window", "heat", "height", "width"), "heat", "height", "width").drop("heat", "height", "width")
+    files = staged(files.withColumn("name", F.format_string("%d/evidence/heatmap_w%03d.jpg", "page_id", "window")), "evidence")
+    written = J.write_files(files, "name", "jpeg", f"{_scratch(spark)}/cases")
+    return files.join(written, "name").select("page_id", "window", "name", "size", F.sha2("jpeg", 256).alias("digest"))
+
+
 @query()
 def picture_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     cues = X.picture_cues(page_pictures(spark, sf_dir), ["page_id", "window"])
