@@ -144,7 +144,8 @@ def encode(rgb: np.ndarray, quality: int = QUALITY) -> bytes:
 def jpeg(rows: DataFrame, pixels: str, height: str, width: str, name: str = "jpeg", quality: int = QUALITY) -> DataFrame:
     """rows with a picture's file in column `name`; null where the bytes don't fit the size or there is no picture."""
     schema = rows.withColumn(name, F.lit(None).cast("binary")).schema
-    at = [rows.columns.index(c) for c in (pixels, height, width)]
+    names = rows.columns
+    at = [names.index(c) for c in (pixels, height, width)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +155,7 @@ def jpeg(rows: DataFrame, pixels: str, height: str, width: str, name: str = "jpe
                 block, h, w = (batch.column(k)[i].as_py() for k in at)
                 fits = block is not None and h and w and len(block) == h * w * 3
                 files.append(encode(np.frombuffer(block, np.uint8).reshape(h, w, 3), quality) if fits else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(files, pa.binary())], [*rows.columns, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(files, pa.binary())], [*names, name])
 
     return rows.mapInArrow(run, schema)
 
