@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
+from tidemark.operators import augment as A
 from tidemark.operators import jpeg as J
 from tidemark.operators import pixels as X
 from tidemark.operators import preprocess as PP
@@ -112,6 +113,14 @@ def evidence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.join(written, "name").select("page_id", "window", "name", "size", F.sha2("jpeg", 256).alias("digest"))
 
 
+@query()
+def augmented_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degraded and blended windows of pages, as digests with what was drawn for them."""
+    rows = A.augmented(page_pictures(spark, sf_dir), ["page_id", "window"])
+    drawn = [F.round(c, 9).alias(c) for c in ("rescale", "contrast", "brightness", "noise")]
+    return rows.select("page_id", "window", *drawn, "quality", "gauss", "motion", "freeze", "long_freeze", F.sha2("degraded", 256).alias("degraded"), F.sha2("blended", 256).alias("blended"))
+
+
 @query()
 def picture_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     cues = X.picture_cues(page_pictures(spark, sf_dir), ["page_id", "window"])
