@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.operators import evaluation as E
+from tidemark.operators import explain as XP
+from tidemark.operators import modules as MO
 from tidemark.operators import session as N
 from tidemark.operators import text as T
 from tidemark.operators import vectors as V
@@ -281,3 +283,27 @@ def light_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def challenge_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", N.phrase(F.col("c_custkey")).alias("phrase"))
+
+
+LIPS = {s: P.TITLES["lips", "", s].replace("'", "''") for s in ("high", "medium")}
+
+
+@query(f"""WITH e AS (SELECT event_id, value / 500 AS lips, event_id % 30 / 10.0::DOUBLE AS conf, event_id % 7 * 50.0::DOUBLE AS off, event_type <> 'error' AS ok FROM events),
+g AS (SELECT event_id, CASE WHEN ok AND (lips >= 0.35 OR (conf >= {P.SYNC_CONF_LEAST} AND off >= 200)) THEN 'high' WHEN ok AND (lips >= 0.18 OR (conf >= {P.SYNC_CONF_LEAST} AND off >= 120)) THEN 'medium' END AS severity FROM e)
+SELECT event_id, severity, CASE severity WHEN 'high' THEN '{LIPS["high"]}' ELSE '{LIPS["medium"]}' END AS title FROM g WHERE severity IS NOT NULL""")
+def speech_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The speech module's findings over windows made of events: lip error by value, sync and offset by id; errors are skipped windows."""
+    e = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "error", "skipped").otherwise("ok")
+    found = MO.speech_findings(status, F.col("value") / 500, F.col("event_id") % 30 / 10.0, F.col("event_id") % 7 * 50.0, F.lit(0.0))
+    return e.select("event_id", F.explode(found).alias("f")).select("event_id", "f.severity", "f.title")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, CAST((conv_id * 7 + turn * 13) % 101 AS INTEGER) AS percent, text || CASE WHEN turn % 2 = 0 THEN ' ' || CAST((conv_id * 7 + turn * 13) % 101 AS VARCHAR) || '%' ELSE '' END AS rewritten FROM conversations)
+SELECT conv_id, turn, percent, length(rewritten) BETWEEN 20 AND 500 AND contains(rewritten, CAST(percent AS VARCHAR) || '%') AS acceptable FROM c""")
+def acceptable_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which turns might stand as a summary's rewriting: every other one names the risk."""
+    percent = ((F.col("conv_id") * 7 + F.col("turn") * 13) % 101).cast("int")
+    c = table(spark, sf_dir, "conversations").withColumn("percent", percent)
+    c = c.withColumn("rewritten", F.concat("text", F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" "), F.col("percent").cast("string"), F.lit("%"))).otherwise("")))
+    return c.select("conv_id", "turn", "percent", XP.acceptable(F.col("rewritten"), F.col("percent")).alias("acceptable"))
