@@ -357,3 +357,20 @@ def test_stored_moments(spark, tmp_path):
     fresh = {d.id: d.distance for d in V.novelty(frame, "id", "v").collect()}
     assert fitted[401] is None and all(fitted[i] == pytest.approx(fresh[i], rel=1e-6) for i in range(300))
     assert M.state(M.states_of(frame.filter("id < 0"), "v")) is None
+
+
+def test_weights_knots_and_existing_files(spark, tmp_path):
+    import json
+
+    from tidemark.sources import io
+
+    (tmp_path / "weights.json").write_text(json.dumps({"weights": {"edge": 0.9, "lips": -0.4}, "neutral_values": {"edge": 0.2}, "other": [1]}, indent=2))
+    (tmp_path / "knots.json").write_text(json.dumps({"points": [[1.0, 0.9], [-1.0, 0.1], [0.0, 0.5]]}))
+    assert io.read_weights(spark, f"file://{tmp_path}/weights.json") == {"edge": (0.9, 0.2), "lips": (-0.4, 0.0)}
+    assert io.read_knots(spark, f"file://{tmp_path}/knots.json") == [(-1.0, 0.1), (0.0, 0.5), (1.0, 0.9)]
+    (tmp_path / "none.json").write_text("{}")
+    assert io.read_weights(spark, f"file://{tmp_path}/none.json") == {}
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "clip string, n int")
+    files = spark.createDataFrame([("a",), ("a",), ("c",)], "file string")
+    assert sorted(r.n for r in io.existing(rows, "clip", files).collect()) == [1, 3]
+    assert [r.n for r in io.pending(rows, "clip", spark.createDataFrame([("a",)], "clip string")).collect()] == [2]

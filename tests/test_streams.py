@@ -80,3 +80,36 @@ def test_known_values_reach_a_stream(spark, folder):
     known = spark.createDataFrame([(0, "front camera"), (1, "back camera")], "key long, label string")
     streams.drained(streams.with_known(in_files(spark, folder, rows, "n"), known, "key"), folder("out"), folder("state"))
     assert {(r.key, r.label) for r in spark.read.parquet(folder("out")).collect()} == {(0, "front camera"), (1, "back camera"), (2, None)}
+
+
+def test_session_windows(spark, folder):
+    rows = spark.createDataFrame([("a", 0), ("a", 50), ("a", 200), ("b", 10), ("a", 230), ("z", 90_000)], "key string, s int").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    rows.filter(F.col("ts") < F.timestamp_seconds(F.lit(100))).coalesce(1).write.parquet(folder("in"))
+    rows.filter(F.col("ts") >= F.timestamp_seconds(F.lit(100))).coalesce(1).write.mode("append").parquet(folder("in"))
+    out = streams.sessions(streams.read_events(spark, folder("in"), rows.schema), "ts", "key", "1 minute", "10 minutes")
+    streams.drained(out, folder("out"), folder("state"))
+    got = {(r.key, int(r.start.timestamp()), int(r.end.timestamp()), r.n) for r in spark.read.parquet(folder("out")).collect()}
+    assert got == {("a", 0, 110, 2), ("b", 10, 70, 1), ("a", 200, 290, 2)}
+
+
+def test_idle_verdicts_are_forgotten(spark, folder):
+    import time
+
+    # Timeouts come with the next rows; with empty triggers too, a run over all there is would have no end.
+    spark = spark.newSession()
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    rows = spark.range(6).select(F.when(F.col("id") < 4, "idle").otherwise("late").alias("key"), F.col("id").alias("n"), F.lit(0.9).alias("probability"), F.array().cast("array<string>").alias("gates"))
+    rows.filter("n < 4").coalesce(1).write.parquet(folder("in"))
+    run = lambda: streams.drained(streams.verdicts(streams.read_events(spark, folder("in"), rows.schema), "key", "n", timeout_ms=200), folder("out"), folder("state"))
+    run()
+    time.sleep(1)
+    rows.filter("n >= 4").coalesce(1).write.mode("append").parquet(folder("in"))
+    run()
+    # The idle key comes back with another window: its latch begins anew, so one high window doesn't latch.
+    time.sleep(1)
+    again = spark.createDataFrame([("idle", 9, 0.9, [])], rows.schema)
+    again.coalesce(1).write.mode("append").parquet(folder("in"))
+    run()
+    got = {r.n: r.in_state for r in spark.read.parquet(folder("out")).collect()}
+    assert got[1] and got[3] and not got[9]
