@@ -33,3 +33,11 @@ def test_picture_replay_can_be_written(spark, sf_dir, tmp_path):
     assert len({c.lower() for c in rows.columns}) == len(rows.columns)
     rows.limit(3).write.parquet(f"file://{tmp_path}/out")
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 3
+
+
+@pytest.mark.parametrize("name", ["module_findings", "window_history"])
+def test_half_hundredths(name, spark, tmp_path):
+    """A window that ends half a hundredth after an even one."""
+    events(tmp_path, {1: [(k + 0.325 * (k == 14), "error", 80.0) for k in range(15)]})
+    ours, theirs = both(name, spark, tmp_path)
+    assert ours == theirs and "170527681433" in str(ours)
