@@ -48,3 +48,10 @@ def test_risk_beyond_one(spark, tmp_path):
     events(tmp_path, {1: [(k, "view", 560.21 if k == 3 else 20.0) for k in range(15)]})
     ours, theirs = both("module_results", spark, tmp_path)
     assert ours == theirs and 1.12042 in [r[-2] for r in ours]
+
+
+def test_half_percents(spark, tmp_path):
+    """Windows of calibrated risk 0.445 and 0.285: 0.445 * 100 is a half, 0.285 * 100 just below one."""
+    events(tmp_path, {u: [(k, "error" if k < bad else "view", value) for k in range(15)] for u, (bad, value) in enumerate([(2, 63.78841), (1, 71.23868), (2, 56.518955), (4, 39.626385), (1, 74.385154)])})
+    ours, theirs = both("session_summaries", spark, tmp_path)
+    assert ours == theirs and all(f"risk of {p}%" in str(ours) for p in (45, 28, 53))

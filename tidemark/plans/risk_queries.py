@@ -192,4 +192,6 @@ def session_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = found.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("w", "p", "severity", "title"))).alias("found"))
     of = lambda s: F.transform(F.filter(F.coalesce("found", F.array().cast("array<struct<w:int,p:int,severity:string,title:string>>")), lambda f: f["severity"] == s), lambda f: f["title"])
     out = last.join(found, "user_id", "left")
-    return out.select("user_id", X.summary(F.col("v.smoothed"), F.col("v.category"), of("high"), of("medium")).alias("summary"))
+    # Percents of the six places that are shown, halves away from zero, as in the SQL.
+    percent = F.round(F.round(F.col("v.smoothed") + 1e-9, 6) * 100)
+    return out.select("user_id", X.summary(F.col("v.smoothed"), F.col("v.category"), of("high"), of("medium"), percent).alias("summary"))
