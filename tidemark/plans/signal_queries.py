@@ -90,10 +90,24 @@ def static_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.frozen_count(e, "user_id", "event_id", "still").select("event_id", "frozen")
 
 
+#: Windows that a Python worker is given at a time: one is 48 kB and its crops may be six times that.
+WINDOWS_A_BATCH = 64
+
+
+def picture_session(spark: SparkSession) -> SparkSession:
+    """A session with spark's settings whose Arrow batches are small, since rows hold pictures."""
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", WINDOWS_A_BATCH)
+    return own
+
+
 def page_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of pictures from the bytes of pages, with a face box that moves with the page."""
     box = F.struct((12 + F.col("page_id") % 5).cast("int").alias("x"), F.lit(12).alias("y"), F.lit(36).alias("w"), F.lit(36).alias("h"))
-    return X.windows_of(table(spark, sf_dir, "pages").select("page_id", "html"), "html", 4, 64).withColumn("box", box)
+    return X.windows_of(table(picture_session(spark), sf_dir, "pages").select("page_id", "html"), "html", 4, 64).withColumn("box", box)
 
 
 @query()
@@ -110,7 +124,9 @@ def evidence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = J.jpeg(rows.select("page_id", "window", "heat", "height", "width"), "heat", "height", "width").drop("heat", "height", "width")
     files = staged(files.withColumn("name", F.format_string("%d/evidence/heatmap_w%03d.jpg", "page_id", "window")), "evidence")
     written = J.write_files(files, "name", "jpeg", f"{_scratch(spark)}/cases")
-    return files.join(written, "name").select("page_id", "window", "name", "size", F.sha2("jpeg", 256).alias("digest"))
+    # The digests meet the sizes; the files themselves aren't shuffled.
+    digests = files.select("page_id", "window", "name", F.sha2("jpeg", 256).alias("digest"))
+    return digests.join(written, "name").select("page_id", "window", "name", "size", "digest")
 
 
 @query()
