@@ -6,6 +6,7 @@ alike, and every run repeats them. Filters work on whole windows (frames x heigh
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.jpeg import COSINES, components, tables
 
+#: Windows whose pictures are held at a time.
+STEP = 32
 DRAWS = "rescale double, quality int, gauss int, motion int, contrast double, brightness double, noise double, freeze int, long_freeze boolean, seed long"
 
 
@@ -120,6 +123,7 @@ def degraded(x: np.ndarray, d: dict) -> np.ndarray:
     return x
 
 
+@functools.cache
 def feathered(height: int, width: int, size: int = 15, sigma: float = 5.0) -> np.ndarray:
     """An ellipse in the picture's middle, 0.35 of its width and 0.45 of its height to each side, with a soft border."""
     y, x = np.mgrid[:height, :width]
@@ -149,13 +153,15 @@ def augmented(windows: DataFrame, keys: list[str], seed: int = 0) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i in range(len(b)):
-                r = b.iloc[i]
-                n, h, w = int(r["frames"]), int(r["height"]), int(r["width"])
-                d, made = {k: r[k] for k in fields}, (None, None)
-                if r["rgb"] is not None and n and len(r["rgb"]) == n * h * w * 3:
-                    x = np.frombuffer(r["rgb"], np.uint8).reshape(n, h, w, 3)
-                    made = degraded(x, d).tobytes(), blended(x, *r["mix"]).tobytes()
-                yield pd.DataFrame({k: b[k].iloc[i : i + 1] for k in [*keys, *fields]}).assign(degraded=[made[0]], blended=[made[1]])
+            for at in range(0, len(b), STEP):
+                part, made = b.iloc[at : at + STEP], []
+                for r in part.to_dict("records"):
+                    n, h, w = int(r["frames"]), int(r["height"]), int(r["width"])
+                    if r["rgb"] is not None and n and len(r["rgb"]) == n * h * w * 3:
+                        x = np.frombuffer(r["rgb"], np.uint8).reshape(n, h, w, 3)
+                        made.append((degraded(x, r).tobytes(), blended(x, *r["mix"]).tobytes()))
+                    else:
+                        made.append((None, None))
+                yield part[[*keys, *fields]].assign(degraded=[m[0] for m in made], blended=[m[1] for m in made])
 
     return rows.select(*keys, "rgb", "frames", "height", "width", "draws.*", "mix").mapInPandas(run, schema)
