@@ -55,3 +55,52 @@ def test_half_percents(spark, tmp_path):
     events(tmp_path, {u: [(k, "error" if k < bad else "view", value) for k in range(15)] for u, (bad, value) in enumerate([(2, 63.78841), (1, 71.23868), (2, 56.518955), (4, 39.626385), (1, 74.385154)])})
     ours, theirs = both("session_summaries", spark, tmp_path)
     assert ours == theirs and all(f"risk of {p}%" in str(ours) for p in (45, 28, 53))
+
+
+def test_pictures_come_in_small_batches(spark, sf_dir):
+    """Windows of 48 kB reach Python a few at a time, however many a partition has."""
+    from tidemark.plans import signal_queries as Q
+
+    pages = Q.page_pictures(spark, sf_dir)
+    counted = pages.union(pages).union(pages).coalesce(1).select("page_id").mapInPandas(lambda batches: (b.iloc[:1].assign(page_id=len(b)) for b in batches), "page_id long")
+    sizes = [r.page_id for r in counted.collect()]
+    assert len(sizes) > 1 and max(sizes) <= Q.WINDOWS_A_BATCH
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
+def test_feathered_masks_are_made_once():
+    from tidemark.operators import augment
+
+    assert augment.feathered(64, 64) is augment.feathered(64, 64)
+
+
+def test_words_of_few_pairs_at_a_time():
+    """A large batch of word pairs takes little more memory than a small one."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tidemark.functions import edits
+
+    def peak(n):
+        words = pa.array([[f"{i}-{k}" for k in range(100)] for i in range(n)])
+        tracemalloc.start()
+        found = edits._distances.func(words, words)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found.to_pylist() == [0] * n
+        return most
+
+    assert peak(4000) < 2 * peak(200)
+
+
+@pytest.mark.parametrize("quality", [30, 95, 100])
+def test_pictures_are_coded_by_arrays(quality):
+    """The symbols of a picture are arrays, whose places grow in the order of the file."""
+    import numpy as np
+
+    from tidemark.operators import jpeg
+
+    picture = np.random.default_rng(0).integers(0, 256, (40, 24, 3), np.uint8)
+    first, rest = jpeg.tokens(jpeg.coefficients(jpeg.components(picture)[0], jpeg.tables(quality)[0]))
+    assert isinstance(rest, np.ndarray) and len(np.unique(np.concatenate([first[:, 0], rest[:, 0]]))) == len(first) + len(rest)

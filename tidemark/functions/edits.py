@@ -9,6 +9,8 @@ from pyspark.sql.types import IntegerType
 
 #: Words of the first sequence that one integer holds a bit each of: memory grows with this, not with the sequences' product.
 BITS = 4096
+#: Pairs whose words are held as Python integers at a time.
+STEP = 128
 
 
 def edits(a: list[int], b: list[int], bits: int = BITS) -> int:
@@ -40,13 +42,18 @@ def edits(a: list[int], b: list[int], bits: int = BITS) -> int:
 
 @F.arrow_udf(IntegerType())
 def _distances(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([n for at in range(0, len(a), STEP) for n in _some_distances(a.slice(at, STEP), b.slice(at, STEP))], pa.int32())
+
+
+def _some_distances(a: pa.Array, b: pa.Array) -> list[int | None]:
     sizes = [x.value_lengths().to_pylist() for x in (a, b)]
-    codes = pa.concat_arrays([a.flatten(), b.flatten()]).dictionary_encode("encode").indices.to_pylist()
-    at, out = [0, len(a.flatten())], []
+    words = [x.flatten() for x in (a, b)]
+    codes = pa.concat_arrays(words).dictionary_encode("encode").indices.to_pylist()
+    at, out = [0, len(words[0])], []
     for m, n in zip(*sizes, strict=True):
         out.append(None if m is None or n is None else edits(codes[at[0] : at[0] + m], codes[at[1] : at[1] + n]))
         at = [at[0] + (m or 0), at[1] + (n or 0)]
-    return pa.array(out, pa.int32())
+    return out
 
 
 def edit_distance(a: Column, b: Column) -> Column:
