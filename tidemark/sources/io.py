@@ -12,6 +12,8 @@ from tidemark.plans import params as P
 
 CASE = """session_id string, created_at long, consent_status string, stubs_in_use boolean, risk_score double, category string, summary string,
 findings array<struct<id:string,severity:string,title:string,detail:string,t:double>>, windows array<struct<window_id:int,risk:double>>, window_count int, evidence array<string>"""
+#: Folders of a batch of stored cases at most.
+BUCKETS = 128
 MESSAGE = """type string, client_time long, consent boolean, camera_label string, frame_intervals_ms array<double>, kind string, t0 long, expected string,
 sequence array<struct<color:string,ms:int>>"""
 
@@ -94,10 +96,22 @@ def write_cases(cases: DataFrame, path: str) -> None:
     rows.repartition("session_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").json(path)
 
 
+def bucket(session_id: Column) -> Column:
+    return F.pmod(F.xxhash64(session_id.cast("string")), F.lit(BUCKETS)).cast("int")
+
+
+def write_buckets(cases: DataFrame, path: str) -> None:
+    """Case documents as JSON lines, a folder and a file for each bucket of sessions: as many at most, whatever the sessions."""
+    cases.withColumn("bucket", bucket(F.col("session_id"))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").json(path)
+
+
 def read_cases(spark: SparkSession, path: str, session_id: str | None = None) -> DataFrame:
-    """Case documents; one session's folder alone if asked for."""
+    """Case documents; the folders of one session, or of its bucket, alone if asked for."""
     rows = spark.read.schema(CASE).json(path)
-    return rows if session_id is None else rows.filter(F.col("session_id") == session_id)
+    if session_id is None:
+        return rows
+    rows = rows.filter(F.col("session_id") == session_id)
+    return rows.filter(F.col("bucket") == bucket(F.lit(session_id))) if "bucket" in rows.columns else rows
 
 
 def expired_cases(cases: DataFrame, now: Column, ttl_hours: float) -> DataFrame:
@@ -105,17 +119,41 @@ def expired_cases(cases: DataFrame, now: Column, ttl_hours: float) -> DataFrame:
 
 
 def evict_cases(spark: SparkSession, path: str, now: float, ttl_hours: float) -> int:
-    """Deletes the folders of sessions whose document is expired, and no other file; returns how many went.
+    """Takes expired case documents away, and nothing else; returns how many went.
 
-    A failure between two deletions leaves some expired cases for the next run. The ids of the expired come to the
-    driver a row at a time, as only the driver deletes.
+    A session's own folder is deleted. A bucket's file that has others too is written anew without the expired, and the old
+    file is deleted when the new one is in its place: a failure between leaves some expired cases, or documents twice, for
+    the next run, and the newest of a session counts. Files' names come to the driver a row at a time, as only the driver deletes.
     """
-    gone = expired_cases(read_cases(spark, path), F.lit(now), ttl_hours).withColumn("file", F.input_file_name()).select("file").distinct()
+    cases = read_cases(spark, path)
+    rows = cases.withColumn("file", F.input_file_name())
+    gone = expired_cases(rows, F.lit(now), ttl_hours).groupBy("file").agg(F.count("*").alias("n"))
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    conf, n, root = spark.sparkContext._jsc.hadoopConfiguration(), 0, hadoop.Path(path)
+    if "bucket" not in cases.columns:
+        for row in gone.toLocalIterator():
+            folder = hadoop.Path(row.file).getParent()
+            n += int(folder.getFileSystem(conf).delete(folder, True))
+        return n
+    # What goes is fixed before a file changes.
+    gone = staged(gone, "expired")
+    kept = rows.join(gone, "file", "left_semi").filter(~F.coalesce(F.col("created_at") < now - ttl_hours * 3600, F.lit(False))).drop("file")
+    places = [c for c in ("batch", "bucket") if c in kept.columns]
+    fresh = hadoop.Path(f"{path}/_staged/kept-{uuid.uuid4().hex}")
+    files = fresh.getFileSystem(conf)
+    kept.repartition(*places).write.partitionBy(*places).json(fresh.toString())
+    found, made = files.listFiles(fresh, True), []
+    while found.hasNext():
+        made.append(found.next().getPath())
+    for file in made:
+        if file.getName().startswith("part-"):
+            folder = "/".join([root.toString(), *file.toString().split("/")[-1 - len(places) : -1]])
+            if not files.rename(file, hadoop.Path(f"{folder}/{file.getName()}")):
+                raise OSError(f"{file} can't be renamed into {folder}")
     for row in gone.toLocalIterator():
-        folder = hadoop.Path(row.file).getParent()
-        n += int(folder.getFileSystem(conf).delete(folder, True))
+        if files.delete(hadoop.Path(row.file), False):
+            n += row.n
+    files.delete(fresh, True)
     return n
 
 
