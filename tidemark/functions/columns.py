@@ -38,14 +38,18 @@ def luma(r: Column, g: Column, b: Column) -> Column:
 
 def hex_chromaticity(colour: Column) -> Column:
     """r, g and luma of a colour such as #ff8000; one third each and 128 where it hasn't six digits."""
-    digits = F.regexp_replace(F.trim(colour), "^#+", "")
-    part = lambda at: F.conv(F.substring(digits, at, 2), 16, 10).cast("double")
-    r, g, b = part(1), part(3), part(5)
-    total = r + g + b + F.lit(1e-6)
-    good = digits.rlike("^[0-9a-fA-F]{6}$")
-    return F.struct(
-        F.when(good, r / total).otherwise(0.333).alias("cr"), F.when(good, g / total).otherwise(0.333).alias("cg"), F.when(good, luma(r, g, b)).otherwise(128.0).alias("luma")
-    )
+
+    def of(digits: Column) -> Column:
+        part = lambda at: F.conv(F.substring(digits, at, 2), 16, 10).cast("double")
+        return let(F.struct(part(1).alias("r"), part(3).alias("g"), part(5).alias("b"), digits.rlike("^[0-9a-fA-F]{6}$").alias("good")), shares)
+
+    def shares(v: Column) -> Column:
+        good, total = v["good"], v["r"] + v["g"] + v["b"] + F.lit(1e-6)
+        return F.struct(
+            F.when(good, v["r"] / total).otherwise(0.333).alias("cr"), F.when(good, v["g"] / total).otherwise(0.333).alias("cg"), F.when(good, luma(v["r"], v["g"], v["b"])).otherwise(128.0).alias("luma")
+        )
+
+    return let(F.regexp_replace(F.trim(colour), "^#+", ""), of)
 
 
 def let(value: Column, then) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import columns as C
 from tidemark.plans import params as P
 
 
@@ -63,18 +62,6 @@ def sessions_by_gap(rows: DataFrame, key: str, time: str, gap: str) -> DataFrame
     return rows.groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def lagged_correlations(a: Column, b: Column, lags: range, least: int) -> Column:
-    """(lag, correlation) of arrays a and b for each lag: at lag k > 0 a starts k later, at k < 0 b does; null where constant or too short."""
-
-    def at(p: Column, k: int) -> Column:
-        cut = F.greatest(F.size(p["a"]) - abs(k), F.lit(0))
-        parts = F.struct(F.slice(p["a"], max(k, 0) + 1, cut).alias("x"), F.slice(p["b"], max(-k, 0) + 1, cut).alias("y"))
-        good = lambda v: (F.size(v["x"]) >= least) & (C.deviation(v["x"]) > 1e-5) & (C.deviation(v["y"]) > 1e-5)
-        return C.let(parts, lambda v: F.struct(F.lit(k).alias("lag"), F.when(good(v), C.correlation(v["x"], v["y"])).alias("corr")))
-
-    return C.let(F.struct(a.alias("a"), b.alias("b")), lambda p: F.array(*[at(p, k) for k in lags]))
-
-
 def best_lag(correlations: Column) -> Column:
     """The lag of the highest correlation, the first of equals."""
     known = F.filter(correlations, lambda c: c["corr"].isNotNull())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
+from tidemark.functions.series import lagged_correlations
 from tidemark.operators import evaluation as E
 from tidemark.operators import joins as J
 from tidemark.operators import statistics as S
@@ -106,7 +107,7 @@ SELECT user_id, CAST(window_id AS INTEGER) AS window_id, CAST(lag AS INTEGER) AS
 def lagged_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.count_windows(events(spark, sf_dir), "user_id", ORDER, 15, 15).withColumn("other", F.col("value") * 0.5 + F.col("place"))
     w = W.window_arrays(w, "user_id", ["value", "other"])
-    found = F.explode(W.lagged_correlations(F.col("value"), F.col("other"), range(-4, 5), 4)).alias("c")
+    found = F.explode(lagged_correlations(F.col("value"), F.col("other"), range(-4, 5), 4)).alias("c")
     return w.select("user_id", "window_id", found).select("user_id", "window_id", "c.lag", F.round("c.corr", 6).alias("corr"))
 
 

@@ -35,22 +35,23 @@ def light_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     sequence = F.array(*[F.struct(F.lit(c).alias("color"), F.lit(350).alias("ms")) for c in COLOURS])
     rows = w.withColumn("sequence", sequence).withColumn("real", F.col("user_id") % 2 == 0)
     weight, spread = F.when(F.col("real"), 0.2).otherwise(0.0), F.when(F.col("real"), 0.01).otherwise(0.04)
-    target = {p: G.target_series(F.col("sequence"), F.lit(LIGHT_FRAMES), p) for p in ("cr", "cg", "luma")}
+    rows = rows.withColumn("target", G.target_series(F.col("sequence"), F.lit(LIGHT_FRAMES)))
     # Each channel has the noise of another place, so that channels disagree.
     noise = {p: C.roll(F.col("noise"), k) for p, k in (("cr", 0), ("cg", 5), ("luma", 9))}
 
     def made(part: str, centre: float, middle: float, scale: float) -> Column:
-        return F.zip_with(target[part], noise[part], lambda t, x: centre + weight * (t - middle) + spread * scale * x)
+        return F.zip_with(F.col("target")[part], noise[part], lambda t, x: centre + weight * (t - middle) + spread * scale * x)
 
     face = F.arrays_zip(made("cr", 0.38, 0.333, 1.0).alias("cr"), made("cg", 0.33, 0.333, 1.0).alias("cg"), made("luma", 120.0, 128.0, 300.0).alias("y"))
     face = F.transform(face, lambda f: F.struct(f["cr"].alias("cr"), f["cg"].alias("cg"), *[f["y"].alias(f"mean_{c}") for c in "rgb"]))
-    neck = F.transform(face, lambda f, i: F.struct((0.3 + 0.5 * (f["cr"] - 0.38) + 0.002 * (i % 3)).alias("cr"), *[f[c].alias(c) for c in ("cg", "mean_r", "mean_g", "mean_b")]))
-    return rows.select("user_id", "window_id", "real", face.alias("face"), F.when(F.col("user_id") % 3 > 0, neck).alias("neck"), "sequence")
+    rows = rows.withColumn("face", face)
+    neck = F.transform(F.col("face"), lambda f, i: F.struct((0.3 + 0.5 * (f["cr"] - 0.38) + 0.002 * (i % 3)).alias("cr"), *[f[c].alias(c) for c in ("cg", "mean_r", "mean_g", "mean_b")]))
+    return rows.select("user_id", "window_id", "real", "face", F.when(F.col("user_id") % 3 > 0, neck).alias("neck"), "sequence")
 
 
 @query()
 def light_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = light_cases(spark, sf_dir).withColumn("l", G.light_response(F.col("face"), F.col("neck"), F.col("sequence"), F.lit("agent"))).select("user_id", "window_id", "real", "l.*")
+    rows = G.light_response(light_cases(spark, sf_dir), F.col("face"), F.col("neck"), F.col("sequence"), F.lit("agent"), "l").select("user_id", "window_id", "real", "l.*")
     return rows.withColumns({c: F.round(c, 6) for c in ("score", "corr_face", "lag_ms", "neck_face_corr", "neck_face_ratio", "snr")}).withColumn("flags", F.array_join("flags", ","))
 
 
