@@ -2,6 +2,7 @@
 
 import hashlib
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -263,6 +264,95 @@ def test_webp_cross_colour_and_subtract_green():
     assert (webp.decode_vp8l(out.bytes()) == c).all()
 
 
+def test_webp_groups_of_codes():
+    r = np.random.default_rng(6)
+    w, h, across = 9, 6, 3
+    meta = [0, 1, 1, 1, 0, 0]
+    pairs, rest = [(3, 200), (7, 90)], [(1, 2, 255), (40, 50, 60)]
+    out = Stream()
+    out.head(w, h)
+    out.put(0, 2)  # no transform, no cache
+    out.put(1, 1)
+    out.put(0, 3)  # tiles of 4 x 4
+    out.pixels([g << 8 for g in meta], main=False)
+    for (low, high), one in zip(pairs, rest, strict=True):
+        for value, n in ((1, 1), (1, 1), (1, 1), (low, 8), (high, 8)):
+            out.put(value, n)
+        for s in (*one, 0):
+            webp.put_one_symbol(out, s)
+    want = np.zeros((h, w, 4), int)
+    for y in range(h):
+        for x in range(w):
+            g = meta[(y >> 2) * across + (x >> 2)]
+            bit = int(r.integers(0, 2))
+            out.put(bit, 1)
+            red, blue, alpha = rest[g]
+            want[y, x] = alpha, red, pairs[g][bit], blue
+    assert (webp.decode_vp8l(out.bytes()) == want).all()
+
+
+def test_webp_hits_of_unused_slots():
+    # Slots are 0 at first; such a hit's pixel, 0, then goes to slot 0.
+    pixel = 0x01020503
+    used = (0x1E35A7BD * pixel & 0xFFFFFFFF) >> 28
+    other = next(k for k in (3, 5) if k != used)
+    symbols = [280 + other, 5, 280, 280 + other, 280 + used, 5, 280 + used]
+    want = [0, pixel, 0, 0, pixel, pixel, pixel]
+    out = Stream()
+    out.head(len(want), 1)
+    out.put(0, 1)
+    out.put(1, 1)
+    out.put(4, 4)
+    out.put(0, 1)
+    lengths = [0] * 296
+    for s in {*symbols}:
+        lengths[s] = 2
+    told = out.code(lengths, 296)
+    for s in (2, 3, 1, 0):
+        webp.put_one_symbol(out, s)
+    for s in symbols:
+        out.put(*told[s])
+    assert (webp.decode_vp8l(out.bytes())[0] == argb(np.array(want, np.uint32))).all()
+
+
+def test_webp_images_do_not_depend_on_their_neighbours(monkeypatch):
+    r = np.random.default_rng(5)
+    texts = [b"", r.bytes(3000), b"the same words " * 400, b"the same words " * 40, bytes(r.integers(97, 101, 60_000).astype(np.uint8)), b"a", b"the same words " * 400]
+    payloads = [webp.padded(t) for t in texts]
+    media = webp.encode_all(payloads)
+    assert media == [webp.encode(p) for p in payloads] and webp.encode_all([]) == []
+    assert webp.decode(b"".join(media)) == b"".join(payloads)
+    monkeypatch.setattr(webp, "MAX_ROWS", 5)
+    monkeypatch.setattr(webp, "READ_PIXELS", 100)
+    small = webp.encode_all(payloads)
+    assert small == [webp.encode(p) for p in payloads] and webp.decode(b"".join(small)) == b"".join(payloads)
+    places = [at for at, _ in webp.images(b"".join(small))]
+    assert len(places) == sum(-(-len(p) // 320) for p in payloads) and places == sorted({*places}) and places[0] == 0
+
+
+def test_webp_reader_takes_few_python_steps():
+    """Lines of the reader that Python runs for a pixel of plain text: about 17 when every code was looked up on its own."""
+    r = np.random.default_rng(9)
+    text = bytes(r.choice(np.frombuffer(b"etaoin shrdlu", np.uint8), 40_000))
+    media, lines = webp.encode(webp.padded(text)), 0
+
+    def trace(frame, event, _):
+        nonlocal lines
+        if frame.f_code.co_filename != webp.__file__:
+            return None
+        lines += event == "line"
+        return trace
+
+    webp.decode(media)
+    before = sys.gettrace()
+    sys.settrace(trace)
+    try:
+        back = webp.decode(media)
+    finally:
+        sys.settrace(before)
+    assert back == webp.padded(text) and lines < 8 * len(back) // 4
+
+
 def test_webp_rejects_damage():
     media = webp.encode(webp.padded(b"hello"))
     with pytest.raises(ValueError):
