@@ -93,22 +93,34 @@ def static_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Windows that a Python worker is given at a time: one is 48 kB and its crops may be six times that.
 WINDOWS_A_BATCH = 64
+#: The same for windows without their repetitions, which have 4 kB in the middle.
+TEXTS_A_BATCH = 128
 
 
-def picture_session(spark: SparkSession) -> SparkSession:
+def picture_session(spark: SparkSession, windows: int = WINDOWS_A_BATCH) -> SparkSession:
     """A session with spark's settings whose Arrow batches are small, since rows hold pictures."""
     own = spark.newSession()
     for name, value in spark.conf.getAll.items():
         if spark.conf.isModifiable(name):
             own.conf.set(name, value)
-    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", WINDOWS_A_BATCH)
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", windows)
     return own
 
 
+def page_texts(spark: SparkSession, sf_dir: str, windows: int = TEXTS_A_BATCH) -> DataFrame:
+    """page_pictures, but a page shorter than a window is there once.
+
+    A window takes so much longer to look at than to read that a file's windows are dealt to all cores.
+    """
+    box = F.struct((12 + F.col("page_id") % 5).cast("int").alias("x"), F.lit(12).alias("y"), F.lit(36).alias("w"), F.lit(36).alias("h"))
+    own = picture_session(spark, windows)
+    parts = max(4 * own.sparkContext.defaultParallelism, int(own.conf.get("spark.sql.shuffle.partitions")))
+    return X.cut_windows(table(own, sf_dir, "pages").select("page_id", "html"), "html", 4, 64).drop("html").repartition(parts, "page_id", "window").withColumn("box", box)
+
+
 def page_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of pictures from the bytes of pages, with a face box that moves with the page."""
-    box = F.struct((12 + F.col("page_id") % 5).cast("int").alias("x"), F.lit(12).alias("y"), F.lit(36).alias("w"), F.lit(36).alias("h"))
-    return X.windows_of(table(picture_session(spark), sf_dir, "pages").select("page_id", "html"), "html", 4, 64).withColumn("box", box)
+    return X.filled(page_texts(spark, sf_dir, WINDOWS_A_BATCH))
 
 
 @query()
@@ -140,7 +152,7 @@ def augmented_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def picture_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cues = X.picture_cues(page_pictures(spark, sf_dir), ["page_id", "window"])
+    cues = X.picture_cues(page_texts(spark, sf_dir), ["page_id", "window"], repeated=True)
     return cues.withColumn("r", X.replay()).withColumn("s", X.static_face()).select("page_id", "window", *[F.round(c, 6).alias(c) for c in X.CUES], "r.*", "s.static").withColumn("flags", F.array_join("flags", ","))
 
 
